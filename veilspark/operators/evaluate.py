@@ -36,12 +36,14 @@ def f1_score(p: Column, r: Column) -> Column:
     return F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(F.lit(0.0))
 
 
+def _score_columns(tp: Column, fp: Column, fn: Column) -> list[Column]:
+    p, r = ratio(tp, tp + fp), ratio(tp, tp + fn)
+    return [p.alias("precision"), r.alias("recall"), f1_score(p, r).alias("f1")]
+
+
 def with_scores(counts: DataFrame) -> DataFrame:
     """Add precision, recall and F1 to ``tp, fp, fn``."""
-    return (
-        counts.withColumn("precision", ratio(F.col("tp"), F.col("tp") + F.col("fp")))
-        .withColumn("recall", ratio(F.col("tp"), F.col("tp") + F.col("fn")))
-        .withColumn("f1", f1_score(F.col("precision"), F.col("recall"))))
+    return counts.select("*", *_score_columns(F.col("tp"), F.col("fp"), F.col("fn")))
 
 
 def truth_rows(samples: DataFrame, id_col: str = "sample_id", text_col: str = "text",
@@ -253,18 +255,19 @@ class Evaluation:
 
     def report(self) -> DataFrame:
         """One row ``report``: the whole result as JSON (global, per entity, matrix)."""
-        def block(df):
-            return F.struct("precision", "recall", "f1", "tp", "fp", "fn")
-        overall = self.overall.select(block(None).alias("g"))
-        # one entry per entity type: bounded by the catalogue
-        per = self.metrics.agg(F.map_from_entries(F.array_sort(F.collect_list(
-            F.struct("entity_type", block(None))))).alias("p"))
-        matrix = self.confusion.agg(F.array_sort(F.collect_list(
-            F.struct("row_label", "col_label", "n"))).alias("m"))
-        joined = overall.join(per, F.lit(True)).join(matrix, F.lit(True))
-        return joined.select(F.to_json(F.struct(
-            F.col("g").alias("global"), F.col("p").alias("per_entity"),
-            F.col("m").alias("confusion_matrix"))).alias("report"))
+        counts = ["tp", "fp", "fn"]
+        block = lambda tp, fp, fn: F.struct(
+            *_score_columns(tp, fp, fn), tp.alias("tp"), fp.alias("fp"), fn.alias("fn"))
+        per = self.counts.select(F.struct("entity_type", block(*map(F.col, counts)).alias("m")).alias("p"), *counts)
+        cells = self.confusion.select(F.struct("row_label", "col_label", "n").alias("c"))
+        # as many rows as there are entity types and label pairs
+        both = per.unionByName(cells, allowMissingColumns=True)
+        total = both.agg(
+            *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counts],
+            F.array_sort(F.collect_list("p")).alias("p"), F.array_sort(F.collect_list("c")).alias("c"))
+        return total.select(F.to_json(F.struct(
+            block(*map(F.col, counts)).alias("global"), F.map_from_entries("p").alias("per_entity"),
+            F.col("c").alias("confusion_matrix"))).alias("report"))
 
 
 def evaluate(
@@ -417,16 +420,18 @@ class GoldenComparison:
 
     def to_json(self, total_examples: DataFrame) -> DataFrame:
         """The report as one JSON row.  Meant for golden sets, which are small by nature."""
-        per = self.report.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(
-            "entity_type", F.struct("expected", "detected", "correct", "precision", "recall", "f1"))))).alias(
-            "per_entity"))
-        missing = self.missing.agg(F.array_sort(F.collect_list("missing")).alias("missing_examples"))
-        extra = self.extra.agg(F.array_sort(F.collect_list(
-            F.struct("id", "entity_type", "start", "end"))).alias("extra_detections"))
-        total = total_examples.agg(F.count(F.lit(1)).alias("total_examples"))
-        joined = total.join(per, F.lit(True)).join(missing, F.lit(True)).join(extra, F.lit(True))
-        return joined.select(F.to_json(F.struct(
-            "total_examples", "per_entity", "missing_examples", "extra_detections")).alias("report"))
+        per = self.report.select(F.struct("entity_type", F.struct(
+            "expected", "detected", "correct", "precision", "recall", "f1")).alias("p"))
+        parts = (per.unionByName(self.missing, allowMissingColumns=True)
+                 .unionByName(self.extra.select(F.struct("id", "entity_type", "start", "end").alias("x")),
+                              allowMissingColumns=True)
+                 .unionByName(total_examples.agg(F.count(F.lit(1)).alias("t")), allowMissingColumns=True))
+        joined = parts.agg(
+            F.max("t").alias("total_examples"),
+            F.map_from_entries(F.array_sort(F.collect_list("p"))).alias("per_entity"),
+            F.array_sort(F.collect_list("missing")).alias("missing_examples"),
+            F.array_sort(F.collect_list("x")).alias("extra_detections"))
+        return joined.select(F.to_json(F.struct("*")).alias("report"))
 
 
 def compare_exact(detected: DataFrame, expected: DataFrame) -> GoldenComparison:

@@ -19,6 +19,9 @@ from veilspark.catalog import NER_ENTITIES
 # nearly every span falls into one bucket.
 BUCKET = 512
 
+# Characters per window chunk; a bound on the rows a running maximum sorts.
+CHUNK = 65536
+
 SPAN_COLUMNS = ("entity_type", "text", "start", "end", "score", "recognizer", "pattern")
 
 
@@ -102,21 +105,47 @@ def dedup_same_type(spans: DataFrame, keys: Iterable[str] = ("doc_id",)) -> Data
     return best.join(dropped, identity, "left_anti").select(*spans.columns)
 
 
+def _running_max(rows: DataFrame, part: list[str], value: str, out: str, inclusive: bool) -> DataFrame:
+    """Running maximum of ``value`` in start order, without a window over a whole document.
+
+    Starts are unique within ``part``.  The window runs within chunks of
+    positions, and a second one over a single row per chunk carries the maximum
+    on, so no task ever sorts more than CHUNK rows of one document at a time.
+    """
+    rows = rows.withColumn("_chunk", F.floor(F.col("start") / CHUNK))
+    per_chunk = rows.groupBy(*part, "_chunk").agg(F.max(value).alias("_m"))
+    earlier = Window.partitionBy(*part).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carried = per_chunk.withColumn("_carry", F.max("_m").over(earlier)).drop("_m")
+    within = Window.partitionBy(*part, "_chunk").orderBy("start").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow if inclusive else -1)
+    return (rows.join(carried, [*part, "_chunk"])
+            .withColumn(out, F.greatest(F.max(value).over(within), "_carry"))
+            .drop("_chunk", "_carry"))
+
+
+def _next_start(rows: DataFrame, part: list[str], out: str) -> DataFrame:
+    """Start of the following row, chunk-wise as in :func:`_running_max`."""
+    rows = rows.withColumn("_chunk", F.floor(F.col("start") / CHUNK))
+    first = rows.groupBy(*part, "_chunk").agg(F.min("start").alias("_first"))
+    carried = first.withColumn("_carry", F.lead("_first").over(
+        Window.partitionBy(*part).orderBy("_chunk"))).drop("_first")
+    within = Window.partitionBy(*part, "_chunk").orderBy("start")
+    return (rows.join(carried, [*part, "_chunk"])
+            .withColumn(out, F.coalesce(F.lead("start").over(within), "_carry"))
+            .drop("_chunk", "_carry"))
+
+
 def merge_same_type(spans: DataFrame, keys: Iterable[str] = ("doc_id",)) -> DataFrame:
     """Overlapping spans of one type become one: gaps and islands.
 
-    Columns: keys, ``entity_type, start, end, score``.  The window is per
-    document and type and keeps one running maximum; equal extents are reduced
-    to one row first.
+    Columns: keys, ``entity_type, start, end, score``.
     """
-    keys = list(keys)
     part = [*keys, "entity_type"]
     unique = spans.groupBy(*part, "start").agg(F.max("end").alias("end"), F.max("score").alias("score"))
-    ordered = Window.partitionBy(*part).orderBy("start")
-    before = ordered.rowsBetween(Window.unboundedPreceding, -1)
-    opens = F.col("start") >= F.coalesce(F.max("end").over(before), F.lit(-1))
-    islands = unique.withColumn("_new", opens.cast("int")).withColumn("_island", F.sum("_new").over(
-        ordered.rowsBetween(Window.unboundedPreceding, 0)))
+    reached = _running_max(unique, part, "end", "_reach", inclusive=False)
+    opened = reached.withColumn("_open", F.when(
+        F.col("start") >= F.coalesce("_reach", F.lit(-1)), F.col("start")))
+    islands = _running_max(opened, part, "_open", "_island", inclusive=True)
     return islands.groupBy(*part, "_island").agg(
         F.min("start").alias("start"), F.max("end").alias("end"), F.max("score").alias("score")
     ).drop("_island")
@@ -126,20 +155,12 @@ def resolve_conflicts(spans: DataFrame, keys: Iterable[str] = ("doc_id",)) -> Da
     """Disjoint spans per document: merge per type, drop inner ones, cut partial overlaps."""
     keys = list(keys)
     merged = merge_same_type(spans, keys)
-    order = Window.partitionBy(*keys).orderBy("start", F.desc("end"), F.desc("score"), "entity_type")
-    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    outer = merged.withColumn("_reach", F.coalesce(reach, F.lit(-1))).filter("end > _reach").drop("_reach")
-    following = F.lead("start").over(Window.partitionBy(*keys).orderBy("start"))
-    return outer.withColumn("end", F.least("end", F.coalesce(following, F.col("end"))))
-
-
-def ranked(spans: DataFrame, keys: Iterable[str] = ("doc_id",)) -> DataFrame:
-    """Position of each span in the stable order of its document, as ``pred_idx``.
-
-    Sorts each document's spans within the row array, so no window is needed
-    when the spans are still an array; for a span table use this.
-    """
-    order = Window.partitionBy(*keys).orderBy(
-        F.desc("score"), "start", F.desc("end"), "entity_type",
-        *[c for c in ("recognizer", "pattern") if c in spans.columns])
-    return spans.withColumn("pred_idx", F.row_number().over(order) - 1)
+    # of spans with one start the longest stays, then the best score, then the type name
+    longest = merged.groupBy(*keys, "start").agg(F.min(F.struct(
+        (-F.col("end")).alias("e"), (-F.col("score")).alias("s"), "entity_type")).alias("_b")).select(
+        *keys, F.col("_b.entity_type").alias("entity_type"), "start", (-F.col("_b.e")).alias("end"),
+        (-F.col("_b.s")).alias("score"))
+    reached = _running_max(longest, keys, "end", "_reach", inclusive=False)
+    outer = reached.filter(F.col("end") > F.coalesce("_reach", F.lit(-1))).drop("_reach")
+    following = _next_start(outer, keys, "_next")
+    return following.withColumn("end", F.least("end", F.coalesce("_next", "end"))).drop("_next")

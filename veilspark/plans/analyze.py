@@ -131,23 +131,26 @@ def analyze(df: DataFrame, entities: Iterable[str] | str | None = None, *, id_co
 
 
 def analyze_rows(df: DataFrame, entities: Iterable[str] | str | None = None, *, id_col: str = "doc_id",
-                 text_col: str = "text", keep: Iterable[str] = (), **options) -> DataFrame:
-    """One row per span: ``id, entity_type, text, start, end, score, recognizer, pattern``."""
+                 text_col: str = "text", keep: Iterable[str] = (), position: str | None = None,
+                 **options) -> DataFrame:
+    """One row per span: ``id, entity_type, text, start, end, score, recognizer, pattern``.
+
+    ``position`` names a column for the place of a span in the result order.
+    """
     rows = scan(df, entities, id_col=id_col, text_col=text_col, **options)
-    return explode_spans(rows, id_col, "spans", keep)
+    return explode_spans(rows, id_col, "spans", keep, position)
 
 
 def explode_spans(rows: DataFrame, id_col: str = "doc_id", spans_col: str = "pii_entities",
-                  keep: Iterable[str] = ()) -> DataFrame:
+                  keep: Iterable[str] = (), position: str | None = None) -> DataFrame:
     """Span rows from a span array.
 
-    ``explode_outer`` and a filter afterwards, not ``explode``: for the latter
-    the optimizer adds ``size(spans) > 0`` below, which would scan every text twice.
+    The outer form and a filter afterwards, not ``explode``: for the latter the
+    optimizer adds ``size(spans) > 0`` below, which would scan every text twice.
     """
-    return (
-        rows.select(id_col, *keep, F.explode_outer(spans_col).alias("_s"))
-        .filter(F.col("_s").isNotNull())
-        .select(id_col, *keep, "_s.*"))
+    exploded = rows.select(id_col, *keep, F.posexplode_outer(spans_col).alias("_pos", "_s"))
+    place = [F.col("_pos").alias(position)] if position else []
+    return exploded.filter(F.col("_s").isNotNull()).select(id_col, *keep, *place, "_s.*")
 
 
 def anonymize(
