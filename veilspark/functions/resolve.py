@@ -1,9 +1,9 @@
 """Span-set algebra on the span array of one row.
 
-Every operator is a sort followed by one fold that carries a little state, so
-the work grows with the number of spans (not its square), and each is a pure
-expression: no shuffle, legal on a stream.  All take and return SQL text; the
-row forms of the same operators are in :mod:`veilspark.operators.rows`.
+Every operator sorts the spans and looks at running maxima, so the work grows
+with the number of spans (not its square), and each is a pure expression: no
+shuffle, legal on a stream.  All take and return SQL text; the row forms of the
+same operators are in :mod:`veilspark.operators.rows`.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 
 from veilspark.functions.spans import (
-    NO_SPANS, SPAN_TYPE, cut_sql, let_sql, quote, quote_list, respan_sql, span_sql,
+    cut_sql, let_sql, prefix_max_sql, quote, quote_list, respan_sql, span_sql,
 )
 
 
@@ -26,30 +26,39 @@ def stable_order(spans: str) -> str:
     return sort_sql(spans, "-s.score", "s.start", "-s.end", "s.entity_type", "s.recognizer", "s.pattern")
 
 
-def _fold(spans: str, zero: str, step: str, finish: str) -> str:
-    return f"aggregate({spans}, {zero}, (acc, s) -> {step}, acc -> {finish})"
-
-
 def _if_many(spans: str, folded: str) -> str:
     return f"if(size({spans}) < 2, {spans}, {folded})"
 
 
+def _islands(ordered: str, per_island: str, gap: str = "s.start >= r.end") -> str:
+    """Cut spans in (type, start) order into runs of one type that hang together.
+
+    ``per_island`` is an expression over ``island``; ``gap`` says when a span
+    ``s`` stands apart from the furthest end before it, ``r.end``.
+    """
+    reach = prefix_max_sql(
+        "transform(a, s -> named_struct('entity_type', s.entity_type, 'end', s.end))")
+    opens = (
+        "filter(transform(a, (s, i) -> " + let_sql(
+            "r", "reach[i]", f"if(r IS NULL OR r.entity_type != s.entity_type OR {gap}, i, -1)")
+        + "), i -> i >= 0)")
+    island = "slice(a, first + 1, coalesce(get(opens, k + 1), size(a)) - first)"
+    each = f"transform(opens, (first, k) -> {let_sql('island', island, per_island)})"
+    return let_sql("a", ordered, let_sql("reach", reach, let_sql("opens", opens, each)))
+
+
 def dedup_same_type(spans: str) -> str:
     """Drop a span contained in a same-type span that scores at least as high.
 
     In (type, start, end desc, score desc) order whatever contains a span comes
-    before it, so the fold compares with the still open spans only.
+    before it, and overlaps it; so a span is compared with those before it in
+    its run of overlapping spans.
     """
     ordered = sort_sql(
         spans, "s.entity_type", "s.start", "-s.end", "-s.score", "s.recognizer", "s.pattern")
-    still_open = "filter(acc.open, o -> o.entity_type = s.entity_type AND o.end > s.start)"
-    decide = (
-        "if(exists(op, o -> o.end >= s.end AND o.score >= s.score), "
-        "named_struct('kept', acc.kept, 'open', op), "
-        "named_struct('kept', concat(acc.kept, array(s)), 'open', concat(op, array(s))))")
-    return _if_many(spans, _fold(
-        ordered, f"named_struct('kept', {NO_SPANS}, 'open', {NO_SPANS})",
-        let_sql("op", still_open, decide), "acc.kept"))
+    kept = ("filter(island, (s, j) -> NOT exists(slice(island, 1, j), "
+            "o -> o.end >= s.end AND o.score >= s.score))")
+    return _if_many(spans, f"flatten({_islands(ordered, f'if(size(island) = 1, island, {kept})')})")
 
 
 def drop_ner_overlaps(
@@ -76,23 +85,17 @@ def drop_ner_overlaps(
         return f"({s}.entity_type IN ({quote_list(ner_types)}) OR ({zero}))" if ner_types else f"({zero})"
 
     ordered = sort_sql(spans, "s.start", f"NOT {blocks('s')}", "s.end")
-    # forward: does a blocker that started at or before this span reach into it?
-    reach = f"if({blocks('s')}, greatest(acc.reach, s.end), acc.reach)"
-    forward = _fold(
-        ordered,
-        f"named_struct('reach', -1, 'out', CAST(array() AS array<struct<span:{SPAN_TYPE},hit:boolean>>))",
-        let_sql("r", reach, "named_struct('reach', r, 'out', concat(acc.out, "
-                            "array(named_struct('span', s, 'hit', r > s.start))))"),
-        "acc.out")
-    # backward: does the next blocker start inside this span?
-    keep = _fold(
-        f"reverse({forward})", f"named_struct('next', 2147483647, 'out', {NO_SPANS})",
-        f"named_struct('next', if({blocks('s.span')}, s.span.start, acc.next), "
-        f"'out', if({yields('s.span')} AND (s.hit OR acc.next < s.span.end), acc.out, "
-        "concat(acc.out, array(s.span))))",
-        "acc.out")
+    # how far blockers that started at or before a span reach
+    reach = prefix_max_sql(f"transform(a, s -> if({blocks('s')}, s.end, -1))")
+    # where the next blocker starts, as the greatest negative start from the end
+    following = "reverse(" + prefix_max_sql(
+        f"transform(reverse(a), s -> if({blocks('s')}, -s.start, -2147483647))") + ")"
+    hit = (f"({blocks('s')} OR coalesce(reach[i], -1) > s.start "
+           "OR -coalesce(following[i], -2147483647) < s.end)")
+    keep = f"filter(a, (s, i) -> NOT ({yields('s')} AND {hit}))"
+    kept = let_sql("a", ordered, let_sql("reach", reach, let_sql("following", following, keep)))
     both = f"exists({spans}, y -> {yields('y')}) AND exists({spans}, b -> {blocks('b')})"
-    return f"if({both}, {keep}, {spans})"
+    return f"if({both}, {kept}, {spans})"
 
 
 def merge_same_type(spans: str, bridge: Callable[[str, str], str] | None = None) -> str:
@@ -101,23 +104,15 @@ def merge_same_type(spans: str, bridge: Callable[[str, str], str] | None = None)
     ``bridge(left_end, right_start)`` may say that a gap also counts as overlap.
     The text of a real union is left null and cut later.
     """
-    ordered = sort_sql(spans, "s.entity_type", "s.start", "-s.end")
-    near = "s.start < acc.cur.end"
+    ordered = sort_sql(spans, "s.entity_type", "s.start", "-s.end", "-s.score", "s.recognizer", "s.pattern")
+    gap = "s.start >= r.end"
     if bridge is not None:
-        near = f"({near} OR {bridge('acc.cur.end', 's.start')})"
-    best = lambda f: f"if(s.score > acc.cur.score, s.{f}, acc.cur.{f})"
-    union = span_sql(
-        "acc.cur.entity_type",
-        "if(acc.cur.start = s.start AND acc.cur.end = s.end, acc.cur.text, CAST(NULL AS string))",
-        "least(acc.cur.start, s.start)", "greatest(acc.cur.end, s.end)",
-        "greatest(acc.cur.score, s.score)", best("recognizer"), best("pattern"))
-    step = (
-        "CASE WHEN acc.cur IS NULL THEN named_struct('cur', s, 'out', acc.out) "
-        f"WHEN acc.cur.entity_type = s.entity_type AND {near} THEN named_struct('cur', {union}, 'out', acc.out) "
-        "ELSE named_struct('cur', s, 'out', concat(acc.out, array(acc.cur))) END")
-    finish = "if(acc.cur IS NULL, acc.out, concat(acc.out, array(acc.cur)))"
-    return _if_many(spans, _fold(
-        ordered, f"named_struct('cur', CAST(NULL AS {SPAN_TYPE}), 'out', {NO_SPANS})", step, finish))
+        gap += f" AND NOT ({bridge('r.end', 's.start')})"
+    best = "element_at(sort_array(transform(island, s -> named_struct('k', -s.score, 's', s))), 1).s"
+    union = let_sql("b", best, span_sql(
+        "b.entity_type", "if(forall(island, s -> s.start = b.start AND s.end = b.end), b.text, CAST(NULL AS string))",
+        "island[0].start", "array_max(transform(island, s -> s.end))", "b.score", "b.recognizer", "b.pattern"))
+    return _if_many(spans, _islands(ordered, f"if(size(island) = 1, island[0], {union})", gap))
 
 
 def drop_inside(spans: str) -> str:
@@ -126,9 +121,9 @@ def drop_inside(spans: str) -> str:
     The result is in start order, and its ends ascend too.
     """
     ordered = sort_sql(spans, "s.start", "-s.end", "-s.score", "s.entity_type")
-    step = ("if(s.end <= acc.reach, acc, "
-            "named_struct('reach', s.end, 'out', concat(acc.out, array(s))))")
-    return _if_many(spans, _fold(ordered, f"named_struct('reach', -1, 'out', {NO_SPANS})", step, "acc.out"))
+    reach = prefix_max_sql("transform(a, s -> s.end)")
+    keep = "filter(a, (s, i) -> coalesce(s.end > reach[i], true))"
+    return _if_many(spans, let_sql("a", ordered, let_sql("reach", reach, keep)))
 
 
 def cut_partial(spans: str) -> str:

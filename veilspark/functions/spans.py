@@ -38,6 +38,11 @@ SPANS_TYPE = f"array<{SPAN_TYPE}>"
 HIT_TYPE = "struct<text:string,start:int,end:int>"
 NO_SPANS = f"CAST(array() AS {SPANS_TYPE})"
 
+# Running values over an array are made chunk by chunk: a fold copies what it has
+# gathered at every step, so one fold over a long array would be quadratic.  The
+# number is even, so that every chunk of pieces begins with a gap.
+CHUNK = 32
+
 # Texts up to this many characters are cut directly; longer ones block-wise.
 BLOCK = 4096
 
@@ -104,11 +109,27 @@ def regex_hits_sql(clean: str, regex: str, emit: str | None = None, emit_type: s
     """
     emit = emit or "named_struct('text', part, 'start', acc.pos, 'end', acc.pos + length(part))"
     parts = f"split(regexp_replace({clean}, {quote(regex)}, '{MARK}$0{MARK}'), '{MARK}', -1)"
-    return (
-        f"aggregate({parts}, "
-        f"named_struct('pos', 0, 'hit', false, 'out', CAST(array() AS array<{emit_type}>)), "
+    groups = f"sequence(0, (size(p) - 1) DIV {CHUNK})"
+    chars = f"aggregate(slice(p, int(g * {CHUNK} + 1), {CHUNK}), 0, (n, part) -> n + length(part))"
+    before = "aggregate(slice(lens, 1, int(g)), 0, (n, len) -> n + len)"
+    fold = (
+        f"aggregate(slice(p, int(g * {CHUNK} + 1), {CHUNK}), "
+        f"named_struct('pos', {before}, 'hit', false, 'out', CAST(array() AS array<{emit_type}>)), "
         "(acc, part) -> named_struct('pos', acc.pos + length(part), 'hit', NOT acc.hit, "
         f"'out', if(acc.hit, concat(acc.out, array({emit})), acc.out)), acc -> acc.out)")
+    return let_sql("p", parts, let_sql(
+        "lens", f"transform({groups}, g -> {chars})", f"flatten(transform({groups}, g -> {fold}))"))
+
+
+def prefix_max_sql(values: str) -> str:
+    """For every element the greatest earlier one (null for the first)."""
+    here = f"slice(v, int(g * {CHUNK} + 1), {CHUNK})"
+    carry = "array_max(slice(tops, 1, int(g)))"
+    within = f"transform({here}, (x, j) -> greatest({carry}, array_max(slice({here}, 1, j))))"
+    groups = f"sequence(0, (size(v) - 1) DIV {CHUNK})"
+    body = let_sql("tops", f"transform({groups}, g -> array_max({here}))",
+                   f"flatten(transform({groups}, g -> {within}))")
+    return let_sql("v", values, f"if(size(v) = 0, v, {body})")
 
 
 def regex_spans(text: str, regex: str, insensitive: bool = False) -> Column:

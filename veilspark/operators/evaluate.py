@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veilspark.functions.spans import blocks_sql, context_sql, cut_sql, iou
+from veilspark.operators.lineage import cut_lineage
 from veilspark.operators.rows import with_buckets
 
 OUTSIDE = "O"
@@ -100,19 +101,8 @@ class Evaluation:
     entities: tuple[str, ...] | None = None
 
     def persisted(self) -> Evaluation:
-        """Outcomes cut off from their lineage.
-
-        Uses the reliable checkpoint folder the cluster names in
-        ``spark.checkpoint.dir``; without one the outcomes are cached, which a
-        lost executor only costs time.
-        """
-        spark = self.outcomes.sparkSession
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder:
-            if spark.sparkContext.getCheckpointDir() is None:
-                spark.sparkContext.setCheckpointDir(folder)
-            return Evaluation(self.outcomes.checkpoint(), self.entities)
-        return Evaluation(self.outcomes.persist(), self.entities)
+        """Outcomes computed once and cut off from their lineage."""
+        return Evaluation(cut_lineage(self.outcomes), self.entities)
 
     def _wanted(self, df: DataFrame) -> DataFrame:
         return df if self.entities is None else df.filter(F.col("entity_type").isin(*self.entities))

@@ -145,7 +145,8 @@ def dictionary_spans(docs: DataFrame, gazetteer: DataFrame, keys: list[str], tex
     names = gazetteer.select(
         F.array_join(words_of(F.col("name")), " ").alias("_name"), "entity_type"
     ).filter("_name <> ''").distinct()
-    toks = docs.select(*keys, F.expr(tokens_sql(text_col)).alias("_t"))
+    toks = docs.select(*keys, F.col(text_col).alias("_x")).select(
+        *keys, F.expr(tokens_sql("_x")).alias("_t"))
     run = ("named_struct('name', array_join(transform(slice(_t, i + 1, n), w -> w.text), ' '), "
            "'start', t.start, 'end', _t[i + n - 1].end)")
     # no run reaches past the last word
@@ -181,19 +182,19 @@ def _collect(spans: DataFrame, keys: list[str], name: str) -> DataFrame:
 def join_dictionary(rows: DataFrame, gazetteer: DataFrame, id_col: str, text_col: str,
                     wanted: Column) -> DataFrame:
     """Add ``_dictionary``.  Keyed by id and text, so a repeated id does no harm."""
-    rows = rows.withColumn("_h", F.xxhash64(text_col))
-    keys = [id_col, "_h"]
+    rows = rows.withColumn("_veil_h", F.xxhash64(text_col))
+    keys = [id_col, "_veil_h"]
     docs = rows.filter(wanted).select(*keys, text_col)
-    spans = _collect(dictionary_spans(docs, gazetteer, keys, text_col), keys, "_dictionary")
+    spans = _collect(dictionary_spans(docs, gazetteer, keys, text_col), keys, "_veil_dictionary")
     joined = rows.join(spans, keys, "left")
-    return joined.withColumn("_dictionary", F.coalesce(
-        F.when(wanted, F.col("_dictionary")), F.expr(NO_SPANS)))
+    return joined.withColumn("_veil_dictionary", F.coalesce(
+        F.when(wanted, F.col("_veil_dictionary")), F.expr(NO_SPANS)))
 
 
 def join_external(rows: DataFrame, external: DataFrame, id_col: str) -> DataFrame:
     """Add ``_external``: spans computed elsewhere, unioned in by document."""
-    joined = rows.join(_collect(external, [id_col], "_external"), id_col, "left")
-    return joined.withColumn("_external", F.coalesce(F.col("_external"), F.expr(NO_SPANS)))
+    joined = rows.join(_collect(external, [id_col], "_veil_external"), id_col, "left")
+    return joined.withColumn("_veil_external", F.coalesce(F.col("_veil_external"), F.expr(NO_SPANS)))
 
 
 # ---------------------------------------------------------------------------

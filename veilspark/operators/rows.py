@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilspark.catalog import NER_ENTITIES
+from veilspark.operators.lineage import cut_lineage
 
 # Characters per position bucket.  Identifiers are tens of characters long, so
 # nearly every span falls into one bucket.
@@ -111,8 +112,9 @@ def _running_max(rows: DataFrame, part: list[str], value: str, out: str, inclusi
     Starts are unique within ``part``.  The window runs within chunks of
     positions, and a second one over a single row per chunk carries the maximum
     on, so no task ever sorts more than CHUNK rows of one document at a time.
+    The rows are read twice, hence the cut.
     """
-    rows = rows.withColumn("_chunk", F.floor(F.col("start") / CHUNK))
+    rows = cut_lineage(rows.withColumn("_chunk", F.floor(F.col("start") / CHUNK)))
     per_chunk = rows.groupBy(*part, "_chunk").agg(F.max(value).alias("_m"))
     earlier = Window.partitionBy(*part).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     carried = per_chunk.withColumn("_carry", F.max("_m").over(earlier)).drop("_m")
@@ -125,7 +127,7 @@ def _running_max(rows: DataFrame, part: list[str], value: str, out: str, inclusi
 
 def _next_start(rows: DataFrame, part: list[str], out: str) -> DataFrame:
     """Start of the following row, chunk-wise as in :func:`_running_max`."""
-    rows = rows.withColumn("_chunk", F.floor(F.col("start") / CHUNK))
+    rows = cut_lineage(rows.withColumn("_chunk", F.floor(F.col("start") / CHUNK)))
     first = rows.groupBy(*part, "_chunk").agg(F.min("start").alias("_first"))
     carried = first.withColumn("_carry", F.lead("_first").over(
         Window.partitionBy(*part).orderBy("_chunk"))).drop("_first")

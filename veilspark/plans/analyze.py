@@ -70,55 +70,59 @@ def scan(
     plan = select(profile, job_entities, extra, named, strict_contract, catalogue)
 
     rows = prepare(df, text_col, language, language_col, strategy_col, mode)
-    rows = rows.withColumn("_clean", F.expr(S.scannable_sql(text_col)))
+    # SQL text refers to copies under internal names, which no lambda variable hides
+    rows = rows.withColumn("_veil_text", F.col(text_col))
+    if entities_col:
+        rows = rows.withColumn("_veil_asked", F.col(entities_col))
+    rows = rows.withColumn("_veil_clean", F.expr(S.scannable_sql("_veil_text")))
     rows = rows.withColumn(
-        "_found", F.expr(scan_sql("_clean", plan.rows, case == "insensitive", validated_score)))
-    spans = [resolve.trim_spans("_found") if trim_spans else "_found"]
+        "_veil_found", F.expr(scan_sql("_veil_clean", plan.rows, case == "insensitive", validated_score)))
+    spans = [resolve.trim_spans("_veil_found") if trim_spans else "_veil_found"]
     by_name = F.col("language") == DEFAULT_LANGUAGE  # other languages: pattern rules only
     for i, d in enumerate(d for d in plan.detectors if d not in ("gazetteer", "external")):
-        rows = rows.withColumn(f"_d{i}", ner.detector_column(d, F.when(by_name, F.col(text_col))))
-        spans.append(f"_d{i}")
+        rows = rows.withColumn(f"_veil_d{i}", ner.detector_column(d, F.when(by_name, F.col(text_col))))
+        spans.append(f"_veil_d{i}")
     if gazetteer is not None:
         rows = ner.join_dictionary(rows, gazetteer, id_col, text_col, by_name)
-        spans.append("_dictionary")
+        spans.append("_veil_dictionary")
     if external is not None:
         rows = ner.join_external(rows, external, id_col)
-        spans.append("_external")
+        spans.append("_veil_external")
     found = spans[0] if len(spans) == 1 else "concat(" + ", ".join(
         f"coalesce({s}, {S.NO_SPANS})" for s in spans) + ")"
-    return _finish(rows, found, plan, text_col, entities_col, min_score, context, context_window)
+    return _finish(rows, found, plan, bool(entities_col), min_score, context, context_window)
 
 
-def _finish(rows: DataFrame, spans: str, plan: Plan, text_col: str, entities_col: str | None,
+def _finish(rows: DataFrame, spans: str, plan: Plan, asked: bool,
             min_score: float | None, context, context_window: int) -> DataFrame:
     """Type filter, duplicate removal, pattern-over-name rule, order."""
     if plan.detectors and plan.entities is not None:
         spans = resolve.keep_types(spans, plan.entities)
-    if entities_col:
-        spans = (f"filter({spans}, s -> array_contains(if(size({entities_col}) > 0, {entities_col}, "
+    if asked:
+        spans = (f"filter({spans}, s -> array_contains(if(size(_veil_asked) > 0, _veil_asked, "
                  f"array({S.quote_list(DEFAULT_ENTITIES)})), s.entity_type))")
-    rows = rows.withColumn("_s0", F.expr(spans))
-    rows = rows.withColumn("_s1", F.expr(resolve.dedup_same_type("_s0")))
-    spans = "_s1"
+    rows = rows.withColumn("_veil_s0", F.expr(spans))
+    rows = rows.withColumn("_veil_s1", F.expr(resolve.dedup_same_type("_veil_s0")))
+    spans = "_veil_s1"
     if plan.detectors:
-        rows = rows.withColumn("_s2", F.expr(resolve.drop_ner_overlaps(
+        rows = rows.withColumn("_veil_s2", F.expr(resolve.drop_ner_overlaps(
             spans, plan.pattern_entities, NER_ENTITIES)))
-        spans = "_s2"
+        spans = "_veil_s2"
     if context:
-        rows = rows.withColumn("_s3", F.expr(ner.boost_sql(
-            spans, text_col, context, context_window, CONTEXT_FACTOR, CONTEXT_MIN_SCORE)))
-        spans = "_s3"
+        rows = rows.withColumn("_veil_s3", F.expr(ner.boost_sql(
+            spans, "_veil_text", context, context_window, CONTEXT_FACTOR, CONTEXT_MIN_SCORE)))
+        spans = "_veil_s3"
     if min_score is not None:
         spans = resolve.keep_score(spans, min_score)
-    rows = rows.withColumn("_ordered", F.expr(resolve.stable_order(spans)))
+    rows = rows.withColumn("_veil_ordered", F.expr(resolve.stable_order(spans)))
     # cut the text anew where a stand-in took part, or a detector gave offsets only
-    blank = f"transform(_ordered, s -> {S.respan_sql('s', 'CAST(NULL AS string)', 's.start', 's.end')})"
-    exact = S.let_sql("bl", S.blocks_sql(text_col), with_values_sql("bl", blank))
-    redo = S.has_mark_sql(text_col)
+    blank = f"transform(_veil_ordered, s -> {S.respan_sql('s', 'CAST(NULL AS string)', 's.start', 's.end')})"
+    exact = S.let_sql("bl", S.blocks_sql("_veil_text"), with_values_sql("bl", blank))
+    redo = S.has_mark_sql("_veil_text")
     if plan.detectors:
-        redo += " OR exists(_ordered, s -> s.text IS NULL)"
-    rows = rows.withColumn("spans", F.expr(f"if({redo}, {exact}, _ordered)"))
-    return rows.drop(*[c for c in rows.columns if c.startswith("_")])
+        redo += " OR exists(_veil_ordered, s -> s.text IS NULL)"
+    rows = rows.withColumn("spans", F.expr(f"if({redo}, {exact}, _veil_ordered)"))
+    return rows.drop(*[c for c in rows.columns if c.startswith("_veil_")])
 
 
 def analyze(df: DataFrame, entities: Iterable[str] | str | None = None, *, id_col: str = "doc_id",
@@ -148,9 +152,9 @@ def explode_spans(rows: DataFrame, id_col: str = "doc_id", spans_col: str = "pii
     The outer form and a filter afterwards, not ``explode``: for the latter the
     optimizer adds ``size(spans) > 0`` below, which would scan every text twice.
     """
-    exploded = rows.select(id_col, *keep, F.posexplode_outer(spans_col).alias("_pos", "_s"))
-    place = [F.col("_pos").alias(position)] if position else []
-    return exploded.filter(F.col("_s").isNotNull()).select(id_col, *keep, *place, "_s.*")
+    exploded = rows.select(id_col, *keep, F.posexplode_outer(spans_col).alias("_veil_pos", "_veil_s"))
+    place = [F.col("_veil_pos").alias(position)] if position else []
+    return exploded.filter(F.col("_veil_s").isNotNull()).select(id_col, *keep, *place, "_veil_s.*")
 
 
 def anonymize(
@@ -181,14 +185,15 @@ def anonymize(
     rows = scan(df, entities, id_col=id_col, text_col=text_col, strategy_col=strategy_col, **options)
     text = F.col(text_col)
     chosen = F.coalesce(F.col(strategy_col), F.lit(strategy)) if strategy_col else F.lit(strategy)
-    rows = rows.withColumn("_blocks", F.expr(S.blocks_sql(text_col)))
-    rows = rows.withColumn("_resolved", F.expr(resolve.resolve_conflicts(
-        "spans", "_blocks" if merge_adjacent else None, merge_adjacent)))
+    rows = rows.withColumn("_veil_text", text).withColumn("_veil_strategy", chosen)
+    rows = rows.withColumn("_veil_blocks", F.expr(S.blocks_sql("_veil_text")))
+    rows = rows.withColumn("_veil_resolved", F.expr(resolve.resolve_conflicts(
+        "spans", "_veil_blocks" if merge_adjacent else None, merge_adjacent)))
     valued = {strategy, *(operators or {}).values()} & {"hash", "mask"} or strategy_col
     if valued:  # only these strategies read the value
-        rows = rows.withColumn("_valued", F.expr(with_values_sql("_blocks", "_resolved")))
-    replace_with = choose_sql("s.entity_type", "s.text", strategy, strategy_col, operators, salt, mask_options)
-    new_text = rewrite_sql("_blocks", f"length({text_col})", "_valued" if valued else "_resolved", replace_with)
+        rows = rows.withColumn("_veil_valued", F.expr(with_values_sql("_veil_blocks", "_veil_resolved")))
+    replace_with = choose_sql("s.entity_type", "s.text", strategy, "_veil_strategy" if strategy_col else None, operators, salt, mask_options)
+    new_text = rewrite_sql("_veil_blocks", "length(_veil_text)", "_veil_valued" if valued else "_veil_resolved", replace_with)
     original = [text.alias("original_text")] if keep_original else []
     return rows.select(
         id_col, *keep, *original, F.expr(new_text).alias("anonymized_text"),
