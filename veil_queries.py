@@ -21,7 +21,7 @@ from veilspark.operators import rows as rows_form
 from veilspark.operators.validate import bad_labels, bad_spans, prepare, rejected_rows
 from veilspark.plans.analyze import analyze, analyze_rows, anonymize, explode_spans
 from veilspark.plans.jobs import pattern_entity_filter
-from veilspark.sources.letters import letters
+from veilspark.sources.letters import dossiers, letters
 from veilspark.sources.readers import read_texts, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,6 +42,10 @@ def letter_texts(spark: SparkSession, sf: str) -> DataFrame:
     return spread(letters(spark, sf).select("doc_id", "text"))
 
 
+def dossier_texts(spark: SparkSession, sf: str) -> DataFrame:
+    return spread(dossiers(spark, sf))
+
+
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*[F.round(c, 6).alias(c) if c in columns else c for c in df.columns])
 
@@ -58,6 +62,7 @@ def _scan_query(name: str, table, entities, **options):
 
 _scan_query("scan_documents", documents, "all")
 _scan_query("scan_letters", letter_texts, "all")
+_scan_query("scan_dossiers", dossier_texts, "all")
 for _entity in ("PHONE_NUMBER", "IBAN", "EMAIL", "BSN", "POSTCODE", "VAT_NUMBER", "KVK_NUMBER",
                 "LICENSE_PLATE", "IP_ADDRESS", "DATE_TIME", "ID_NO", "CASE_NO", "MAC_ADDRESS",
                 "DRIVERS_LICENSE"):
@@ -65,9 +70,19 @@ for _entity in ("PHONE_NUMBER", "IBAN", "EMAIL", "BSN", "POSTCODE", "VAT_NUMBER"
 _scan_query("scan_letters_insensitive", letter_texts, "all", case="insensitive")
 
 
+# Patterns whose values stand in the dossiers; the others stand in the letters.
+IN_DOSSIERS = (
+    "INTL_IBAN", "NL_DOC_NEW", "DATE_YYYY_MM_DD", "DATE_DD_MM_YY", "DATE_DD_MONTH_YYYY", "CASE_PREFIXED",
+    "CASE_BAG_ID", "CASE_UUID", "CASE_C_CIVIL", "CASE_AWB", "CASE_HR", "CASE_GERECHTSHOF", "CASE_OM",
+    "CASE_COURT_GENERIC", "MAC_DASH", "MAC_CISCO_DOT",
+)
+
+
 def _pattern_query(row: catalog.Recognizer):
+    table = dossier_texts if row.pattern in IN_DOSSIERS else letter_texts
+
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        texts = letter_texts(spark, sf).select("doc_id", "text").unionByName(
+        texts = table(spark, sf).unionByName(
             documents(spark, sf).select((-F.col("doc_id") - 1).alias("doc_id"), "text"))
         hits = texts.select("doc_id", F.explode_outer(regex_spans("text", row.regex)).alias("h"))
         return hits.filter("h is not null").select("doc_id", "h.start", "h.end", "h.text")
@@ -464,7 +479,7 @@ def letter_evaluation(spark, sf, **options) -> E.Evaluation:
     kinds = ["EMAIL", "IBAN", "VAT_NUMBER", "LICENSE_PLATE", "IP_ADDRESS", "KVK_NUMBER"]
     found = analyze(samples, kinds, id_col="sample_id", keep=["text"])
     predictions = E.prediction_rows(found.withColumnRenamed("pii_entities", "spans"))
-    return E.evaluate(predictions, E.truth_rows(samples), **options)
+    return E.evaluate(predictions, E.truth_rows(samples), **options).persisted()
 
 
 @query

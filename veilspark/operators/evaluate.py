@@ -277,7 +277,9 @@ def evaluate(
     """
     if not 0 < iou_threshold <= 1:
         raise ValueError("iou_threshold must be in (0, 1]")
-    p = predictions.filter(F.col("score") >= score_threshold)
+    # both sides are read twice below; the texts behind them must not be
+    p = cut_lineage(predictions.filter(F.col("score") >= score_threshold))
+    truth = cut_lineage(truth)
     key = ["sample_id", "entity_type", "start", "end"]
     has_text = "text" in truth.columns and "text" in p.columns
     pt = F.col("text") if has_text else F.lit(None).cast("string")

@@ -40,3 +40,31 @@ def letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = c.alias("c").join(n.alias("n"), F.col("c.c_nationkey") == F.col("n.n_nationkey"))
     return joined.select(
         F.col("c.c_custkey").alias("doc_id"), F.expr(LETTER_SQL).alias("text"), "c.c_name", "n.n_name")
+
+
+# One value of every format the letters lack, from an order key.
+DOSSIER_SQL = """
+  'Dossier WOO-2023-' || lpad(CAST(o_orderkey % 100000 AS STRING), 5, '0')
+  || ' en C/13/' || lpad(CAST(o_orderkey % 1000000 AS STRING), 6, '0')
+  || ', AWB 21/' || lpad(CAST(o_orderkey % 100000 AS STRING), 5, '0')
+  || ', HR 22/' || lpad(CAST(o_orderkey % 100000 AS STRING), 5, '0')
+  || ', hof 200.' || lpad(CAST(o_orderkey % 100000 AS STRING), 5, '0')
+  || ', parket 08/' || lpad(CAST(o_orderkey % 1000000 AS STRING), 6, '0') || '-23'
+  || ', RBAMS 20/' || lpad(CAST(o_orderkey % 10000 AS STRING), 4, '0')
+  || ', zaak ' || lpad(CAST(o_orderkey % 100000000 AS STRING), 8, '0') || '-12ab-34cd-56ef-0123456789ab'
+  || ', BAG 0363' || lpad(CAST(o_orderkey % 1000000000000 AS STRING), 12, '0')
+  || '. Rekening DE' || lpad(CAST(o_orderkey % 100 AS STRING), 2, '0') || ' 3704 0044 0532 '
+  || lpad(CAST(o_custkey % 10000 AS STRING), 4, '0') || ' 00'
+  || '; document XY' || CAST(111111 + o_custkey % 8 AS STRING) || '7'
+  || '; gezien 2021-0' || CAST(1 + o_orderkey % 9 AS STRING) || '-1' || CAST(o_orderkey % 10 AS STRING)
+  || ', 1' || CAST(o_orderkey % 10 AS STRING) || ' 0' || CAST(1 + o_orderkey % 9 AS STRING) || ' 24'
+  || ' en ' || CAST(1 + o_orderkey % 28 AS STRING) || ' september 2020'
+  || '; apparaat A0-B1-C2-D3-E4-' || lpad(CAST(o_orderkey % 100 AS STRING), 2, '0')
+  || ' en 00AA.11BB.' || lpad(CAST(o_orderkey % 10000 AS STRING), 4, '0') || ' klaar.'
+"""
+
+
+def dossiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, text``: one file note per order, with the formats letters lack."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
+    return orders.select(F.col("o_orderkey").alias("doc_id"), F.expr(DOSSIER_SQL).alias("text"))

@@ -10,13 +10,13 @@ from pyspark.sql import types as T
 
 from veilspark.operators.evaluate import thresholds_table
 
-GOLDEN_SCHEMA = T.StructType.fromDDL(
+GOLDEN_SCHEMA = (
     "id STRING, text STRING, "
     "entities ARRAY<STRUCT<entity_type: STRING, text: STRING, start: INT, end: INT>>")
-SAMPLE_SCHEMA = T.StructType.fromDDL(
+SAMPLE_SCHEMA = (
     "full_text STRING, spans ARRAY<STRUCT<entity_type: STRING, entity_value: STRING, "
     "start_position: INT, end_position: INT>>")
-TEXT_SCHEMA = T.StructType.fromDDL("doc_id BIGINT, text STRING, language STRING")
+TEXT_SCHEMA = "doc_id BIGINT, text STRING, language STRING"
 
 
 def read_texts(spark: SparkSession, path: str, fmt: str = "parquet", id_col: str = "doc_id",
