@@ -416,22 +416,20 @@ def zero_shot_label_map(spark, sf):
     return mapped.select("label", ner.map_label("label", catalog.ZERO_SHOT_LABELS).alias("entity_type"), "n")
 
 
-def _name_model(frames):
-    """Stand-in for a model: the words after 'schreef'."""
-    import re
-
-    import pandas as pd
-    rule = re.compile(r"schreef (\S+)")
-    for pdf in frames:
-        yield pd.DataFrame(
-            [(i, "PER", m.start(1), m.end(1)) for i, t in zip(pdf.doc_id, pdf.text) for m in rule.finditer(t)],
-            columns=["doc_id", "entity_type", "start", "end"])
-
-
 @query
 def model_detector(spark, sf):
     """A user's model in Arrow batches; its label is mapped to an entity type."""
-    ner.register_detector("spacy", _name_model, ["PERSON"])
+    def name_model(frames):  # stand-in for a model: the word after "schreef"
+        import re
+
+        import pandas as pd
+        rule = re.compile(r"schreef (\S+)")
+        for pdf in frames:
+            yield pd.DataFrame(
+                [(i, "PER", m.start(1), m.end(1)) for i, t in zip(pdf.doc_id, pdf.text) for m in rule.finditer(t)],
+                columns=["doc_id", "entity_type", "start", "end"])
+
+    ner.register_detector("spacy", name_model, ["PERSON"])
     return analyze_rows(letter_texts(spark, sf), ["PERSON", "IBAN"], detectors=["spacy"]).select(
         "doc_id", *SPAN, "recognizer")
 

@@ -10,6 +10,7 @@ import argparse
 import sys
 from collections.abc import Iterable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,7 +72,7 @@ def run_evaluation(spark: SparkSession, args: argparse.Namespace) -> int:
         samples = readers.read_samples(spark, args.data)
         samples.agg(F.count("text")).first()  # a sample file that does not parse ends here
         thresholds = readers.read_thresholds(spark, args.thresholds)
-    except (PySparkException, ValueError, KeyError, AttributeError, TypeError) as exc:
+    except (PySparkException, Py4JJavaError, ValueError, KeyError, AttributeError, TypeError) as exc:
         print(f"bad input: {exc}", file=sys.stderr)
         return 2
     entities = None
