@@ -47,8 +47,10 @@ def _row_sql(clean: str, row: Recognizer, insensitive: bool, validated_score: fl
     score = row.score
     if row.validator is not None and validated_score is not None:
         score = validated_score
-    emit = span_sql(quote(row.entity_type), "part", "acc.pos", "acc.pos + length(part)", f"{score!r}D",
-                    quote(row.recognizer), quote(row.pattern))
+    def emit(text: str, start: str, end: str) -> str:
+        return span_sql(quote(row.entity_type), text, start, end, f"{float(score)!r}D",
+                        quote(row.recognizer), quote(row.pattern))
+
     spans = regex_hits_sql(clean, java_regex(row.regex, insensitive, row.lead), emit, SPAN_TYPE)
     if row.validator is not None:
         valid = VALIDATORS[row.validator] if isinstance(row.validator, str) else row.validator

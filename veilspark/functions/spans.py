@@ -100,25 +100,33 @@ def respan_sql(s: str, text: str, start: str, end: str) -> str:
     return span_sql(f"{s}.entity_type", text, start, end, f"{s}.score", f"{s}.recognizer", f"{s}.pattern")
 
 
-def regex_hits_sql(clean: str, regex: str, emit: str | None = None, emit_type: str = HIT_TYPE) -> str:
-    """An array of every match of a Java regex.
+def _hit_sql(text: str, start: str, end: str) -> str:
+    return f"named_struct('text', {text}, 'start', {start}, 'end', {end})"
 
-    ``clean`` must not hold MARK (see :func:`scannable_sql`).  ``emit`` is what
-    to keep per match, in terms of ``part``, ``acc.pos`` (start) and ``acc.pos +
-    length(part)`` (end).
+
+def regex_hits_sql(
+    clean: str, regex: str, emit: Callable[[str, str, str], str] = _hit_sql, emit_type: str = HIT_TYPE,
+) -> str:
+    """An array of every match of a Java regex, as ``emit(text, start, end)``.
+
+    ``clean`` must not hold MARK (see :func:`scannable_sql`).  No match and one
+    match, by far the most frequent, need no running position.
     """
-    emit = emit or "named_struct('text', part, 'start', acc.pos, 'end', acc.pos + length(part))"
     parts = f"split(regexp_replace({clean}, {quote(regex)}, '{MARK}$0{MARK}'), '{MARK}', -1)"
     groups = f"sequence(0, (size(p) - 1) DIV {CHUNK})"
     chars = f"aggregate(slice(p, int(g * {CHUNK} + 1), {CHUNK}), 0, (n, part) -> n + length(part))"
     before = "aggregate(slice(lens, 1, int(g)), 0, (n, len) -> n + len)"
+    hit = emit("part", "acc.pos", "acc.pos + length(part)")
     fold = (
         f"aggregate(slice(p, int(g * {CHUNK} + 1), {CHUNK}), "
         f"named_struct('pos', {before}, 'hit', false, 'out', CAST(array() AS array<{emit_type}>)), "
         "(acc, part) -> named_struct('pos', acc.pos + length(part), 'hit', NOT acc.hit, "
-        f"'out', if(acc.hit, concat(acc.out, array({emit})), acc.out)), acc -> acc.out)")
-    return let_sql("p", parts, let_sql(
-        "lens", f"transform({groups}, g -> {chars})", f"flatten(transform({groups}, g -> {fold}))"))
+        f"'out', if(acc.hit, concat(acc.out, array({hit})), acc.out)), acc -> acc.out)")
+    many = let_sql("lens", f"transform({groups}, g -> {chars})", f"flatten(transform({groups}, g -> {fold}))")
+    single = emit("p[1]", "length(p[0])", "length(p[0]) + length(p[1])")
+    return let_sql("p", parts, (
+        f"CASE size(p) WHEN 1 THEN CAST(array() AS array<{emit_type}>) WHEN 3 THEN array({single}) "
+        f"ELSE {many} END"))
 
 
 def prefix_max_sql(values: str) -> str:
