@@ -4,7 +4,8 @@
 ``pii_valid_bsn(text)``.  They are SQL functions over built-in expressions, so
 a query that calls them is planned like any other::
 
-    SELECT d.doc_id, s.* FROM docs d, LATERAL explode(pii_spans(d.text)) AS t(s)
+    SELECT doc_id, s.* FROM (SELECT doc_id, pii_spans(text) AS a FROM docs)
+    LATERAL VIEW OUTER explode(a) AS s WHERE s IS NOT NULL
 """
 
 from __future__ import annotations
