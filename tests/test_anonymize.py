@@ -135,3 +135,13 @@ def test_plan_is_one_map(docs, spark):
     # the expression of one pattern: in its group's guard and in its own scan, once each
     assert "Exchange" not in rows
     assert rows.count(r"(?=AWB)\bAWB") == 2 and rows.count(r"(?U)(?=AWB)\bAWB") == 1
+
+
+def test_filters_do_not_repeat_the_scan(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    hit = analyze(df, "all").filter(F.size("pii_entities") > 0)
+    plan = hit._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(r"(?U)(?=AWB)\bAWB") == 1 and hit.count() > 0
+    new = anonymize(df, "all").filter(F.col("anonymized_text") != F.col("original_text"))
+    plan = new._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(r"(?U)(?=AWB)\bAWB") == 1 and new.count() == hit.count()

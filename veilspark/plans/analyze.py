@@ -121,10 +121,20 @@ def _finish(rows: DataFrame, spans: str, plan: Plan, asked: bool,
     redo = S.has_mark_sql("_veil_text")
     if plan.detectors:
         redo += " OR exists(_veil_ordered, s -> s.text IS NULL)"
-    rows = rows.withColumn("spans", F.expr(f"if({redo}, {exact}, _veil_ordered)"))
+    rows = _settle(rows, "spans", f"if({redo}, {exact}, _veil_ordered)")
     return rows.drop(*[c for c in rows.columns if c.startswith("_veil_")])
 
 
+def _settle(rows: DataFrame, name: str, sql: str) -> DataFrame:
+    """Add a column that is computed once whatever is done with it later.
+
+    A filter on a plain column would be pushed below its projection and compute
+    it again there, with everything it is made of.  A generator of one row stops
+    the filter and costs nothing.
+    """
+    return rows.drop(name).select("*", F.inline_outer(F.array(F.struct(F.expr(sql).alias(name)))))
+
+
 def analyze(df: DataFrame, entities: Iterable[str] | str | None = None, *, id_col: str = "doc_id",
             text_col: str = "text", keep: Iterable[str] = (), **options) -> DataFrame:
     """``id, pii_entities, text_length, language`` per valid row (options: :func:`scan`)."""
@@ -195,7 +205,8 @@ def anonymize(
     replace_with = choose_sql("s.entity_type", "s.text", strategy, "_veil_strategy" if strategy_col else None, operators, salt, mask_options)
     new_text = rewrite_sql("_veil_blocks", "length(_veil_text)", "_veil_valued" if valued else "_veil_resolved", replace_with)
     original = [text.alias("original_text")] if keep_original else []
+    rows = _settle(rows, "anonymized_text", new_text)
     return rows.select(
-        id_col, *keep, *original, F.expr(new_text).alias("anonymized_text"),
+        id_col, *keep, *original, "anonymized_text",
         F.col("spans").alias("entities_found"), F.length(text).alias("text_length"),
         chosen.alias("anonymization_strategy"))
