@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilspark.llm import simhash, substring
+from veilspark.llm import decontaminate, simhash, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash_bktree": simhash.op3_simhash_bktree,
+    "op7_qgram_decontam": decontaminate.op7_qgram_decontam,
     "op10_substring_dedup": substring.op10_substring_dedup,
 }
 
