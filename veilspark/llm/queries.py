@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilspark.llm import decontaminate, simhash, substring
+from veilspark.llm import decontaminate, langid, simhash, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash_bktree": simhash.op3_simhash_bktree,
     "op7_qgram_decontam": decontaminate.op7_qgram_decontam,
+    "op8_langid_crf": langid.op8_langid_crf,
     "op10_substring_dedup": substring.op10_substring_dedup,
 }
 
