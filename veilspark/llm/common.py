@@ -39,7 +39,16 @@ def cut(df: DataFrame, kind: str) -> DataFrame:
     df.write.parquet(path)
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete tables that ``cut`` wrote and that no later plan reads."""
+    for df in frames:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.cut_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_bytes(column: str = "text") -> Column:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import cut, table, text_bytes
+from veilspark.llm.common import cut, discard, table, text_bytes
 
 WINDOW = 13
 SEED = 5
@@ -121,21 +121,27 @@ def _windows(window: int, seed: int):
 
 def shared_anchors(docs: DataFrame, window: int, seed: int) -> DataFrame:
     """(id, shared): for each document its anchors that another document has too. ``docs``: id, text as bytes."""
-    anchors = (docs.where("id is not null").mapInPandas(_anchors(window, seed), "anchor long, id long"))
+    anchors = cut(docs.where("id is not null").mapInPandas(_anchors(window, seed), "anchor long, id long"), "anchors")
     often = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
-    return anchors.join(often, "anchor", "left_semi").groupBy("id").agg(F.collect_set("anchor").alias("shared"))
+    shared = anchors.join(often, "anchor", "left_semi").groupBy("id").agg(F.collect_set("anchor").alias("shared"))
+    out = cut(shared, "shared")
+    discard(anchors)
+    return out
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
             seed: int = SEED) -> DataFrame:
     """(id, hashes): for each document its windows that a document with a smaller id has too, by hash."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("text"))
-    shared = cut(shared_anchors(texts, window, seed), "anchors")
+    shared = shared_anchors(texts, window, seed)
     extended = cut(texts.join(shared, "id").mapInPandas(_windows(window, seed), "hash long, id long"), "windows")
+    discard(shared)
     first = cut(extended.groupBy("hash").agg(F.min("id").alias("first"), F.max("id").alias("last"))
                 .where("first < last").select("hash", "first"), "first")
     later = extended.join(first, "hash").where("id > first")
-    return later.groupBy("id").agg(F.collect_set("hash").alias("hashes"))
+    out = cut(later.groupBy("id").agg(F.collect_set("hash").alias("hashes")), "repeats")
+    discard(extended, first)
+    return out
 
 
 def _spans(window: int):
@@ -165,7 +171,7 @@ def _spans(window: int):
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
                      seed: int = SEED) -> DataFrame:
     """(id, n_words, n_removed, spans, kept): word spans of the maximal repeats, and the kept words joined by a space."""
-    found = cut(repeats(docs, id_col, text_col, window, seed), "repeats")
+    found = repeats(docs, id_col, text_col, window, seed)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("text"))
     return texts.join(found, "id", "left").select("id", _spans(window)("text", "hashes").alias("r")).select("id", "r.*")
 
