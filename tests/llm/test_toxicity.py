@@ -34,9 +34,9 @@ def test_pairs_beyond_the_sum():
         insult, group = draw.random(2) < 0.5
         words = [f"w{draw.integers(30)}" for _ in range(6)] + ["fool"] * int(insult) + ["folk"] * int(group)
         rows.append((int(insult == group), np.unique(tox.Buckets().of(" ".join(words)))))
-    model = tox.fit(rows, epochs=60, factor_rate=1.0, decay=0.0)
-    kinds = [model.scores([tox.Buckets().of(t)])[0] for t in ("fool folk", "w1", "fool", "folk")]
-    assert kinds[0] > 0.5 > kinds[2] and kinds[1] > 0.5 > kinds[3]
+    model = tox.fit(rows[:600], epochs=60, factor_rate=0.3)
+    right = [(model.scores([t])[0] > 0.5) == bool(y) for y, t in rows[600:]]
+    assert np.mean(right) > 0.95
 
 
 def test_pair_sum_is_exact():

@@ -94,7 +94,8 @@ class FactorizationMachine:
         known = self.active[term]
         pairs = np.unique(number[known] << BITS | term[known])
         raw = self.raw(pairs >> BITS, pairs & ((1 << BITS) - 1), len(texts))
-        return 1 / (1 + np.exp(-np.clip(raw, -500, 500)))
+        with np.errstate(over="ignore"):
+            return 1 / (1 + np.exp(-raw))
 
 
 def fit(rows: list[tuple[int, np.ndarray]], factors: int = FACTORS, epochs: int = 16,
