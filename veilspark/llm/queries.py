@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilspark.llm import decontaminate, langid, simhash, substring, toxicity
+from veilspark.llm import decontaminate, langid, pieces, simhash, substring, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash_bktree": simhash.op3_simhash_bktree,
     "op5_toxicity_fm": toxicity.op5_toxicity_fm,
     "op7_qgram_decontam": decontaminate.op7_qgram_decontam,
     "op8_langid_crf": langid.op8_langid_crf,
+    "op9_sentencepiece": pieces.op9_sentencepiece,
     "op10_substring_dedup": substring.op10_substring_dedup,
 }
 
