@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilspark.llm import decontaminate, langid, pieces, simhash, substring, toxicity
+from veilspark.llm import decontaminate, langid, pieces, simhash, substring, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash_bktree": simhash.op3_simhash_bktree,
+    "op4_warc_salvage": warc.op4_warc_salvage,
     "op5_toxicity_fm": toxicity.op5_toxicity_fm,
     "op7_qgram_decontam": decontaminate.op7_qgram_decontam,
     "op8_langid_crf": langid.op8_langid_crf,
@@ -17,4 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_substring_dedup": substring.op10_substring_dedup,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op4_warc_salvage": warc.ORACLE,
+    "op10_substring_dedup": substring.ORACLE,
+}

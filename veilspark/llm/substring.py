@@ -180,3 +180,19 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document: its words, how many of them repeat an earlier document, and a digest of the rest."""
     found = dedup_substrings(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE = """
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+t AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM d),
+g AS (SELECT doc_id, p, x, string_agg(x, ' ') OVER ahead AS k, count(*) OVER ahead AS n FROM t
+      WINDOW ahead AS (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)),
+f AS (SELECT k, min(doc_id) AS first FROM g WHERE n = 13 GROUP BY k),
+r AS (SELECT g.doc_id, g.p, g.x, g.n = 13 AND f.first < g.doc_id AS again FROM g LEFT JOIN f ON g.n = 13 AND g.k = f.k),
+c AS (SELECT doc_id, p, x, bool_or(coalesce(again, false)) OVER (
+        PARTITION BY doc_id ORDER BY p ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS gone FROM r),
+k AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE gone) AS n_removed,
+        coalesce(string_agg(x, ' ' ORDER BY p) FILTER (WHERE NOT gone), '') AS kept FROM c GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed,
+  sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k ON d.doc_id = k.doc_id
+"""
