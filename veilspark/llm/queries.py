@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilspark.llm import decontaminate, langid, pieces, simhash, substring, toxicity, warc
+from veilspark.llm import decontaminate, langid, licences, pieces, simhash, substring, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_license_rules": licences.op2_license_rules,
     "op3_simhash_bktree": simhash.op3_simhash_bktree,
     "op4_warc_salvage": warc.op4_warc_salvage,
     "op5_toxicity_fm": toxicity.op5_toxicity_fm,
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op2_license_rules": licences.ORACLE,
     "op4_warc_salvage": warc.ORACLE,
     "op10_substring_dedup": substring.ORACLE,
 }
