@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilspark.llm import decontaminate, langid, licences, pieces, simhash, substring, toxicity, warc
+from veilspark.llm import chat, decontaminate, langid, licences, pieces, simhash, substring, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat_repair": chat.op1_chat_repair,
     "op2_license_rules": licences.op2_license_rules,
     "op3_simhash_bktree": simhash.op3_simhash_bktree,
     "op4_warc_salvage": warc.op4_warc_salvage,
