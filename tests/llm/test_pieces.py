@@ -67,3 +67,14 @@ def test_odd_rows_and_decoding(spark, known):
     back = sorted((r.id or 0, r.text) for r in pieces.decode(found, known).collect())
     assert back == sorted((i or 0, t or "") for i, t in rows)
     assert pieces.encode(docs.limit(0), known).count() == 0
+
+
+def test_pieces_apart_as_merging_says(known):
+    draw = random.Random(8)
+    ids = known.ids.tolist()
+    short = [i for i in ids if len(known.pieces[i]) <= 3 and "▁▁" not in known.pieces[i]]
+    pairs = [(draw.choice(short), draw.choice(short)) for _ in range(6000)]
+    pairs += [(a, b) for a in short[:60] for b in short[:60]]
+    left, right = np.array(pairs).T
+    want = [known.merge(known.pieces[a] + known.pieces[b]) == [a, b] for a, b in pairs]
+    assert known.stay_apart(left, right).tolist() == want

@@ -4,11 +4,11 @@ A text is cut into units no piece spans: runs of the space mark with the letters
 length advance together, one character a step: the hashes of the substrings that end there probe the sorted
 hashes of the pieces, each piece found continues the best path to its start, and the maximum over piece lengths is kept with
 its back pointer. For a unigram model a path's score is the sum of its pieces' scores. For a BPE model a piece may continue
-a path only if merging the two pieces' text gives just these two pieces back; the one path that remains is the result of
-the merges, so ids equal those of the merge procedure. Units that start with several space marks, whose merges tie,
-and those of over ``LONG`` letters, which would advance alone, are merged directly.
+a path only if merging the two pieces' text gives just these two pieces back, which the times of the merges at their
+border tell; the one path that remains is the result of the merges, so ids equal those of the merge procedure. Units that start with several space marks, whose merges tie,
+and those of lengths that under ``FEW`` units share, which would advance nearly alone, are merged directly.
 
-Encoded units are remembered between the batches of a worker, up to ``MEMO`` of them. The vocabulary is read on the driver and
+Encoded units are remembered between the batches of a worker, about ``MEMO`` of them. The vocabulary is read on the driver and
 broadcast (its size does not depend on the data). No shuffle.
 
 Results for odd input: null and empty texts have no ids; characters outside the vocabulary become their UTF-8 bytes'
@@ -31,9 +31,10 @@ from veilspark.llm.common import table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-MEMO = 1_000_000
+MEMO = 250_000
 SUB_BATCH = 256
-LONG = 2048
+LEARNED = 2048
+FEW = 16
 BITS = 20
 _P = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
@@ -46,12 +47,13 @@ class Vocabulary:
                  unknown: int = 0, kind: str = "bpe") -> None:
         self.pieces, self.kind, self.unknown = pieces, kind, unknown
         self.special, self.byte_ids = special, byte_ids
-        normal = [i for i in range(len(pieces)) if i not in special and i not in byte_ids.values() and pieces[i]]
+        bytes_too = special | set(byte_ids.values())
+        normal = [i for i in range(len(pieces)) if i not in bytes_too and pieces[i]]
         self.number = {pieces[i]: i for i in normal}
         self.scores = np.array(scores, float)
         self.longest = max((len(pieces[i]) for i in normal), default=1)
         if kind == "bpe":
-            normal = [i for i in normal if self.merge(pieces[i]) == [i]]
+            normal = self._spines(normal)
         hashes = np.array([hash_of(pieces[i]) for i in normal], np.uint64)
         order = np.argsort(hashes)
         self.keys, self.ids = hashes[order], np.array(normal, np.int64)[order]
@@ -79,6 +81,67 @@ class Vocabulary:
         byte_ids = {int(pieces[i][3:5], 16): i for i in count if model.is_byte(i)}
         return cls(pieces, [model.get_score(i) for i in count], special, byte_ids, model.unk_id(), kind)
 
+    def _spines(self, normal: list[int]) -> list[int]:
+        """The pieces that merging can make. Keeps, for each, what its left and right edge were at every time.
+
+        An edge symbol exists from the merge that formed it until the one that takes it in; times are merge scores.
+        """
+        halves: dict[int, tuple[int, int]] = {}
+        made = []
+        for i in normal:
+            text = self.pieces[i]
+            if self.merge(text) == [i]:
+                made.append(i)
+                if len(text) > 1:
+                    halves[i] = self.number[text[:self.last_cut]], self.number[text[self.last_cut:]]
+        self.raw = np.zeros(len(self.pieces), np.uint64)
+        self.power = np.zeros(len(self.pieces), np.uint64)
+        for i in made:
+            self.raw[i] = hash_of(self.pieces[i], False)
+            self.power[i] = pow(_P, len(self.pieces[i]), 1 << 64)
+        self.edges = []
+        for side in (0, 1):
+            rows = {}
+            for i in made:
+                row, taken, now = [], -np.inf, i
+                while True:
+                    formed = self.scores[now] if now in halves else np.inf
+                    row.append((now, formed, taken))
+                    if now not in halves:
+                        break
+                    now, taken = halves[now][side], formed
+                rows[i] = row
+            depth = max((len(r) for r in rows.values()), default=1)
+            ids = np.full((len(self.pieces), depth), -1, np.int32)
+            times = np.zeros((2, len(self.pieces), depth))
+            for i, row in rows.items():
+                ids[i, :len(row)] = [r[0] for r in row]
+                times[0, i, :len(row)], times[1, i, :len(row)] = [r[1] for r in row], [r[2] for r in row]
+            self.edges.append((ids, *times))
+        return made
+
+    def stay_apart(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Whether merging the text of two pieces gives just the two: no merge over their border comes in time."""
+        out = np.ones(len(left), bool)
+        (left_ids, left_formed, left_taken), (right_ids, right_formed, right_taken) = self.edges[1], self.edges[0]
+        for i in range(left_ids.shape[1]):
+            rows = np.flatnonzero(out & (left_ids[left, i] >= 0))
+            if not len(rows):
+                break
+            for j in range(right_ids.shape[1]):
+                rows = rows[out[rows] & (right_ids[right[rows], j] >= 0)]
+                if not len(rows):
+                    break
+                a, b = left[rows], right[rows]
+                both = (right_formed[b, j] > left_taken[a, i]) & (left_formed[a, i] >= right_taken[b, j])
+                at = rows[both]
+                x, y = left_ids[left[at], i], right_ids[right[at], j]
+                over = self.find((self.raw[x] * self.power[y] + self.raw[y]) * np.uint64(_P))
+                hit = over >= 0
+                at, score = at[hit], self.scores[over[hit]]
+                out[at[(score > left_taken[left[at], i]) & (score >= right_taken[right[at], j])]] = False
+        return out
+
     def merge(self, text: str) -> list[int]:
         """BPE ids by merging: the best-scored pair first, the leftmost of equal ones; -1 - code for unknown letters."""
         n = len(text)
@@ -97,7 +160,7 @@ class Vocabulary:
             b = ends[a]
             if not alive[a] or b >= n or not alive[b] or ends[b] != end:
                 continue
-            ends[a], alive[b] = end, False
+            ends[a], alive[b], self.last_cut = end, False, b
             if end < n:
                 before[end] = a
                 offer(a, end)
@@ -115,17 +178,16 @@ class Vocabulary:
         return out
 
 
-def hash_of(text: str) -> int:
+def hash_of(text: str, mixed: bool = True) -> int:
     value = 0
     for c in text:
         value = (value * _P + ord(c) + 1) & _MASK
-    return value * _P & _MASK
+    return value * _P & _MASK if mixed else value
 
 
 class Encoder:
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.v = vocabulary
-        self.joins: dict[int, bool] = {}
         self._forget()
 
     def _forget(self) -> None:
@@ -137,14 +199,7 @@ class Encoder:
         out = np.ones(len(left), bool)
         real = np.flatnonzero((left >= 0) & (right >= 0))
         keys, back = np.unique(left[real] << 32 | right[real], return_inverse=True)
-        known = np.empty(len(keys), bool)
-        for n, key in enumerate(keys.tolist()):
-            found = self.joins.get(key)
-            if found is None:
-                a, b = key >> 32, key & 0xFFFFFFFF
-                found = self.joins[key] = self.v.merge(self.v.pieces[a] + self.v.pieces[b]) == [a, b]
-            known[n] = found
-        out[real] = known[back]
+        out[real] = self.v.stay_apart(keys >> 32, keys & 0xFFFFFFFF)[back]
         return out
 
     def viterbi(self, units: list[str]) -> list[list[int]]:
@@ -202,11 +257,14 @@ class Encoder:
         by_length: dict[int, list[str]] = {}
         done: list[tuple[str, list[int]]] = []
         for unit in sorted(units):
-            if self.v.kind == "bpe" and (unit.startswith(MARK * 2) or len(unit) > LONG):
+            if self.v.kind == "bpe" and unit.startswith(MARK * 2):
                 done.append((unit, self.v.merge(unit)))
             else:
                 by_length.setdefault(len(unit), []).append(unit)
         for length, some in by_length.items():
+            if self.v.kind == "bpe" and len(some) < FEW:
+                done += [(unit, self.v.merge(unit)) for unit in some]
+                continue
             step = max(1, 2_000_000 // (length + 1))
             for at in range(0, len(some), step):
                 done += zip(some[at:at + step], self.viterbi(some[at:at + step]))
@@ -217,10 +275,21 @@ class Encoder:
         self.lengths = np.concatenate((self.lengths, lengths))
         self.flat = np.concatenate((self.flat, np.array([i for ids in encoded for i in ids], np.int32)))
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+    def _units(self, text: str | None) -> list[str]:
+        return self.v.unit.findall(MARK + text.replace(" ", MARK)) if text else []
+
+    def prepare(self, texts: list[str | None]) -> None:
+        """Learn the units of many texts together."""
         if len(self.memo) > MEMO:
             self._forget()
-        cut = [self.v.unit.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+        new: set[str] = set()
+        for text in texts:
+            new.update(u for u in self._units(text) if u not in self.memo)
+        if new:
+            self._learn(new)
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        cut = [self._units(t) for t in texts]
         units = [u for c in cut for u in c]
         new = set(units) - self.memo.keys()
         if new:
@@ -273,16 +342,16 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         encoder = _encoder(shared)
         for texts in batches:
-            ids: list[np.ndarray] = []
-            same: list[bool] = []
             for at in range(0, len(texts), SUB_BATCH):
+                if at % LEARNED == 0:
+                    encoder.prepare(texts.iloc[at:at + LEARNED].tolist())
                 some = texts.iloc[at:at + SUB_BATCH].tolist()
-                found = encoder.encode(some)
-                ids += found
+                ids = encoder.encode(some)
+                columns = {"ids": ids, "n_tokens": np.array([len(i) for i in ids], np.int32)}
                 if check:
-                    same += [d == (t or "").replace(MARK, " ") for d, t in zip(encoder.decode(found), some)]
-            columns = {"ids": ids, "n_tokens": np.array([len(i) for i in ids], np.int32)}
-            yield pd.DataFrame(columns | ({"round_trip": np.array(same, bool)} if check else {}))
+                    columns["round_trip"] = np.array(
+                        [d == (t or "").replace(MARK, " ") for d, t in zip(encoder.decode(ids), some)], bool)
+                yield pd.DataFrame(columns)
 
     return docs.select(F.col(id_col).alias("id"), of(F.col(text_col)).alias("r")).select("id", "r.*")
 
