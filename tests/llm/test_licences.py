@@ -53,4 +53,5 @@ def test_every_rule_matches_its_own_text(spark):
 
 def test_plan_is_native(spark):
     plan = lic.op2_license_rules(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") >= 2 and "SortMergeJoin" not in plan
     assert not re.search("Python|Pandas|Arrow|CartesianProduct|BroadcastNestedLoop", plan)

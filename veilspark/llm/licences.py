@@ -3,8 +3,8 @@
 A text is cut into sentences: after ``. ! ? ; :`` before white space, and at blank lines. A sentence that runs over lines is
 tried whole and line by line, since licence lines are wrapped as well as put alone below other text. Normalised
 sentences (lower-case letters and digits, all else one space) are joined with the table of known licence
-sentences, which gives each its identifier; that table is fixed and small, so Spark broadcasts it and
-only the few known sentences are shuffled. A document's identifiers in order are then matched with
+sentences, which gives each its identifier. That table comes with the rules, not the data; up to ``BROADCAST_CHARS``
+it is broadcast and only the known sentences are shuffled, beyond that Spark joins it as it finds best. A document's identifiers in order are then matched with
 the rules: each licence or notice is an ordered sequence of identifiers, found wherever the document's sequence holds it
 without another known sentence between. Rules are looked up by their first identifier.
 
@@ -108,6 +108,7 @@ CUT = "\x1e"
 AFTER = r"([.!?;:])[ \t\n\r\f]+"
 BLANK = r"\n[ \t\r\f]*\n[ \t\n\r\f]*"
 OTHER = "[^a-z0-9]+"
+BROADCAST_CHARS = 4_000_000
 
 
 def sentences(text: str) -> list[str]:
@@ -131,6 +132,11 @@ def rule_rows(rules=RULES) -> list[tuple[str, str, int, list[int]]]:
     return [(name, licence, sequence[0], sequence) for name, licence, sequence in rows if sequence]
 
 
+def small(df: DataFrame, values: list) -> DataFrame:
+    """The table of rules or sentences, to be broadcast while its values have less than ``BROADCAST_CHARS`` characters."""
+    return F.broadcast(df) if len(str(values)) < BROADCAST_CHARS else df
+
+
 def normal(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(sentence), OTHER, " "))
 
@@ -138,7 +144,8 @@ def normal(sentence: Column) -> Column:
 def known_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules=RULES) -> DataFrame:
     """(id, mark, at, part, sentence_id): each known sentence of a text, by its place; ``mark`` tells texts of one id apart."""
     spark = docs.sparkSession
-    known = spark.createDataFrame(list(sentence_ids(rules).items()), "sentence string, sentence_id int")
+    values = list(sentence_ids(rules).items())
+    known = small(spark.createDataFrame(values, "sentence string, sentence_id int"), values)
     cut = F.split(F.regexp_replace(F.regexp_replace(F.col(text_col), AFTER, f"$1{CUT}"), BLANK, CUT), CUT)
     whole = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), F.posexplode(cut).alias("at", "piece"))
     lines = F.when(F.instr("piece", "\n") > 0, F.concat(F.array("piece"), F.split("piece", "\n"))).otherwise(F.array("piece"))
@@ -150,7 +157,8 @@ def known_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules=RULES) -> DataFrame:
     """(id, rule, licence, matches, first_sentence): a row for each rule that a text's sentences follow."""
     spark = docs.sparkSession
-    patterns = spark.createDataFrame(rule_rows(rules), "rule string, licence string, first int, sequence array<int>")
+    values = rule_rows(rules)
+    patterns = small(spark.createDataFrame(values, "rule string, licence string, first int, sequence array<int>"), values)
     found = known_sentences(docs, id_col, text_col, rules).distinct()
     ordered = found.groupBy("id", "mark").agg(F.sort_array(F.collect_list(F.struct("at", "part", "sentence_id"))).alias("s"))
     held = ordered.select("id", "mark", F.col("s.at").alias("places"), F.col("s.sentence_id").alias("ids"))
