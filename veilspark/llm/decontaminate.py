@@ -219,24 +219,49 @@ def _scan(shared):
     return run
 
 
+def _leaked(shared):
+    def of(texts: pd.Series) -> pd.Series:
+        found = {n for n, *_ in shared.value.search([normalise(t) for t in texts])}
+        return pd.Series([n in found for n in range(len(texts))], dtype=bool)
+
+    return of
+
+
+def _indexes(items: DataFrame, item_col: str, text_col: str, q: int, rate: float, block_chars: int) -> list:
+    """Broadcast indexes of the benchmark, each of about ``block_chars`` characters at most."""
+    known = items.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text"))
+    chars = known.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = max(1, math.ceil(chars / block_chars))
+    out = []
+    for block in range(blocks):
+        rows = known.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block).collect()
+        index = ItemIndex([(r.item, normalise(r.text)) for r in rows], q, rate)
+        out.append(items.sparkSession.sparkContext.broadcast(index))
+    return out
+
+
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
           item_text_col: str = "text", q: int = Q, rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(id, item, start, end, edits) with offsets in the normalised text: one row per leaked region.
 
     Ids come as strings, whatever their type, so that nulls and large numbers stay exact.
     """
-    spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
-    known = items.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text"))
-    chars = known.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, math.ceil(chars / block_chars))
-    out = None
-    for block in range(blocks):
-        rows = known.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block).collect()
-        index = ItemIndex([(r.item, normalise(r.text)) for r in rows], q, rate)
-        found = texts.mapInPandas(_scan(spark.sparkContext.broadcast(index)),
-                                  "id string, item string, start long, end long, edits long")
-        out = found if out is None else out.unionByName(found)
+    found = [texts.mapInPandas(_scan(shared), "id string, item string, start long, end long, edits long")
+             for shared in _indexes(items, item_col, item_text_col, q, rate, block_chars)]
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def without_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id",
+                  item_text_col: str = "text", q: int = Q, rate: float = RATE,
+                  block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The documents that hold no benchmark item; no shuffle."""
+    out = docs
+    for shared in _indexes(items, item_col, item_text_col, q, rate, block_chars):
+        out = out.where(~F.pandas_udf(_leaked(shared), "boolean")(F.col(text_col)))
     return out
 
 

@@ -307,23 +307,35 @@ def training_runs(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_c
     return [(r.label, r.words.split()) for r in found]
 
 
-def detect(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text",
-           words: bool = False) -> DataFrame:
-    """(id, label, score), and with ``words`` also ``runs``: the labelled runs of words."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def tagger(spark: SparkSession, model: Model, words: bool = False):
+    """A column function from texts to (label, score), and with ``words`` also ``runs``: the labelled runs of words."""
+    shared = spark.sparkContext.broadcast(model)
     kind = "label string, score double" + (", runs array<struct<label: string, start: long, words: long>>" * words)
 
-    @F.pandas_udf(kind)
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        tagger = Tagger(shared.value)
+        applied = Tagger(shared.value)
         for texts in batches:
-            found = tagger.texts(texts.tolist(), words)
+            found = applied.texts(texts.tolist(), words)
             columns = {"label": [f[0] for f in found], "score": [f[1] for f in found]}
             yield pd.DataFrame(columns | ({"runs": [f[2] for f in found]} if words else {}))
 
+    return F.pandas_udf(of, kind)
+
+
+def detect(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text",
+           words: bool = False) -> DataFrame:
+    """(id, label, score[, runs]) of every row."""
+    of = tagger(docs.sparkSession, model, words)
     return docs.select(F.col(id_col).alias("id"), of(F.col(text_col)).alias("r")).select("id", "r.*")
 
 
+def keep_known(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.3) -> DataFrame:
+    """The documents with letters whose language is at least ``least`` probable."""
+    of = tagger(docs.sparkSession, model)
+    marked = docs.withColumn("__language", of(F.col(text_col)))
+    return marked.where((F.col("__language.label") != UNKNOWN) & (F.col("__language.score") >= least)).select(*docs.columns)
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(remainder(id_col, 4) == 2, F.lit(False))
 

@@ -333,12 +333,10 @@ def _encoder(shared) -> Encoder:
     return held
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text",
-           check: bool = False) -> DataFrame:
-    """(id, ids, n_tokens); with ``check`` also ``round_trip``: decoding the ids gives the text back."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+def encoder_of(spark: SparkSession, vocabulary: Vocabulary, check: bool = False):
+    """A column function from texts to (ids, n_tokens); with ``check`` also ``round_trip``: decoding gives the text."""
+    shared = spark.sparkContext.broadcast(vocabulary)
 
-    @F.pandas_udf("ids array<int>, n_tokens int" + ", round_trip boolean" * check)
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         encoder = _encoder(shared)
         for texts in batches:
@@ -353,6 +351,13 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
                         [d == (t or "").replace(MARK, " ") for d, t in zip(encoder.decode(ids), some)], bool)
                 yield pd.DataFrame(columns)
 
+    return F.pandas_udf(of, "ids array<int>, n_tokens int" + ", round_trip boolean" * check)
+
+
+def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text",
+           check: bool = False) -> DataFrame:
+    """(id, ids, n_tokens[, round_trip]) of every row."""
+    of = encoder_of(docs.sparkSession, vocabulary, check)
     return docs.select(F.col(id_col).alias("id"), of(F.col(text_col)).alias("r")).select("id", "r.*")
 
 

@@ -62,13 +62,14 @@ def fingerprint(text: bytes, words: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: its id and ``fp`` (signed long)."""
+    """One row per document: its id, ``mark`` (a hash of the text as it is) and ``fp`` (signed long)."""
 
     @F.pandas_udf("long")
     def of(texts: pd.Series) -> pd.Series:
         return pd.Series([fingerprint(t) for t in texts], dtype="int64")
 
-    return docs.select(F.col(id_col).alias("id"), of(text_bytes(text_col)).alias("fp"))
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"),
+                       of(text_bytes(text_col)).alias("fp"))
 
 
 def block_masks(blocks: int = BLOCKS, radius: int = RADIUS) -> list[int]:
@@ -205,15 +206,27 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS,
                     blocks: int = BLOCKS, shard: int = SHARD) -> DataFrame:
-    """(id, fp, component): ``component`` is the smallest id reachable over links, the row's own included."""
+    """(id, mark, fp, root, component): ``root`` names the component, ``component`` is the smallest id in it."""
     marked = cut(fingerprints(docs, id_col, text_col), "fingerprints")
     first = cut(marked.groupBy("fp").agg(F.min("id").alias("first")), "distinct")
     found = components(cut(links(first.select("fp"), radius, blocks, shard), "near"))
     rooted = found.join(first, found["node"] == first["fp"]).select("node", "root", "first")
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component"))
-    of_fp = rooted.select("node", "root").join(smallest, "root").select(F.col("node").alias("fp"), "component")
-    classes = first.join(of_fp, "fp", "left").select("fp", F.coalesce("component", "first").alias("component"))
-    return marked.join(classes, "fp").select("id", "fp", "component")
+    of_fp = rooted.select("node", "root").join(smallest, "root").select(F.col("node").alias("fp"), "root", "component")
+    # written, so that the last join stands alone and Spark can split the rows of a hot fingerprint
+    classes = cut(first.join(of_fp, "fp", "left").select(
+        "fp", F.coalesce("root", "fp").alias("root"),
+        F.when(F.col("root").isNull(), F.col("first")).otherwise(F.col("component")).alias("component")), "classes")
+    return marked.join(classes, "fp").select("id", "mark", "fp", "root", "component")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The documents with one row of each component: that of the smallest id; a null id stays only without others."""
+    found = near_duplicates(docs, id_col, text_col, **options)
+    best = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark")).alias("b"))
+    kept = best.select(F.col("b.id").alias("__kept_id"), F.col("b.mark").alias("__kept_mark"))
+    same = F.col(id_col).eqNullSafe(F.col("__kept_id")) & (F.xxhash64(text_col) == F.col("__kept_mark"))
+    return docs.join(kept, same).dropDuplicates(["__kept_id", "__kept_mark"]).select(*docs.columns)
 
 
 def hex_text(fp: Column) -> Column:

@@ -176,6 +176,24 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return texts.join(found, "id", "left").select("id", _spans(window)("text", "hashes").alias("r")).select("id", "r.*")
 
 
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None,
+                   window: int = WINDOW, seed: int = SEED) -> DataFrame:
+    """The documents without their repeated words; texts that lose none stay as they are, to the space.
+
+    ``length_col`` names a column that is to hold the number of characters of a changed text.
+    """
+    found = repeats(docs, id_col, text_col, window, seed).select(F.col("id").alias("__id"), "hashes")
+    found = found.withColumnRenamed("hashes", "__hashes")
+    joined = docs.join(found, F.col(id_col).cast("long") == F.col("__id"), "left")
+    cut_out = joined.withColumn("__r", _spans(window)(text_bytes(text_col), F.col("__hashes")))
+    changed = F.col("__r.n_removed") > 0
+    out = {c: F.col(c) for c in docs.columns} | {text_col: F.when(changed, F.col("__r.kept")).otherwise(F.col(text_col))}
+    if length_col:
+        kind = docs.schema[length_col].dataType
+        out[length_col] = F.when(changed, F.length("__r.kept").cast(kind)).otherwise(F.col(length_col))
+    return cut_out.select(*(out[c].alias(c) for c in docs.columns))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document: its words, how many of them repeat an earlier document, and a digest of the rest."""
     found = dedup_substrings(table(spark, sf_dir, "documents"))
