@@ -1,6 +1,7 @@
 """SentencePiece encoding and decoding by a batched Viterbi search in numpy.
 
-A text is cut into units no piece spans: runs of the space mark with the letters after them. All new units of equal
+A text is cut into units no piece spans: runs of the space mark with the letters after them, up to the next mark, line
+end or stop. All new units of equal
 length advance together, one character a step: the hashes of the substrings that end there probe the sorted
 hashes of the pieces, each piece found continues the best path to its start, and the maximum over piece lengths is kept with
 its back pointer. For a unigram model a path's score is the sum of its pieces' scores. For a BPE model a piece may continue
@@ -32,8 +33,8 @@ from veilspark.llm.common import table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 MEMO = 250_000
-SUB_BATCH = 256
-LEARNED = 2048
+STOPS = ",.!?;:"
+SUB_BATCH = 1024
 FEW = 16
 BITS = 20
 _P = 0x9E3779B97F4A7C15
@@ -60,7 +61,11 @@ class Vocabulary:
         self.seen = np.zeros(1 << BITS, bool)
         self.seen[self.keys >> np.uint64(64 - BITS)] = True
         alone = "" if any("\n" in pieces[i] for i in normal) else "\n"
-        self.unit = re.compile(f"{MARK}*[^{MARK}{alone}]+|{MARK}+" + (f"|{alone}+" if alone else ""))
+        # a unit may also end between a letter and a stop, if no piece has a letter before that stop
+        joined = {b for i in normal for a, b in zip(pieces[i], pieces[i][1:]) if a.isalpha()}
+        stops = "".join(c for c in STOPS if c not in joined)
+        word = f"{MARK}*[^\\W\\d_]+(?=[{MARK}{alone}{stops}]|$)"
+        self.unit = re.compile(f"{word}|{MARK}*[^{MARK}{alone}]+|{MARK}+" + (f"|{alone}+" if alone else ""))
         shown = [b"" if i in special else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
         for byte, i in byte_ids.items():
             shown[i] = bytes([byte])
@@ -278,17 +283,9 @@ class Encoder:
     def _units(self, text: str | None) -> list[str]:
         return self.v.unit.findall(MARK + text.replace(" ", MARK)) if text else []
 
-    def prepare(self, texts: list[str | None]) -> None:
-        """Learn the units of many texts together."""
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         if len(self.memo) > MEMO:
             self._forget()
-        new: set[str] = set()
-        for text in texts:
-            new.update(u for u in self._units(text) if u not in self.memo)
-        if new:
-            self._learn(new)
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         cut = [self._units(t) for t in texts]
         units = [u for c in cut for u in c]
         new = set(units) - self.memo.keys()
@@ -341,8 +338,6 @@ def encoder_of(spark: SparkSession, vocabulary: Vocabulary, check: bool = False)
         encoder = _encoder(shared)
         for texts in batches:
             for at in range(0, len(texts), SUB_BATCH):
-                if at % LEARNED == 0:
-                    encoder.prepare(texts.iloc[at:at + LEARNED].tolist())
                 some = texts.iloc[at:at + SUB_BATCH].tolist()
                 ids = encoder.encode(some)
                 columns = {"ids": ids, "n_tokens": np.array([len(i) for i in ids], np.int32)}
