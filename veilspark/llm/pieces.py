@@ -193,6 +193,8 @@ def hash_of(text: str, mixed: bool = True) -> int:
 class Encoder:
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.v = vocabulary
+        # one tried join in each slot: its key and its result
+        self.tried, self.tried_result = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, bool)
         self._forget()
 
     def _forget(self) -> None:
@@ -201,10 +203,18 @@ class Encoder:
 
     def _may_join(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Whether merging two pieces' text leaves them as they are; unknown letters never merge."""
-        out = np.ones(len(left), bool)
-        real = np.flatnonzero((left >= 0) & (right >= 0))
-        keys, back = np.unique(left[real] << 32 | right[real], return_inverse=True)
-        out[real] = self.v.stay_apart(keys >> 32, keys & 0xFFFFFFFF)[back]
+        key = left << 32 | right
+        slot = ((key.astype(np.uint64) * np.uint64(_P)) >> np.uint64(64 - BITS)).astype(np.int64)
+        out = self.tried_result[slot]
+        new = np.flatnonzero(self.tried[slot] != key)
+        if len(new):
+            found = np.ones(len(new), bool)
+            real = np.flatnonzero((left[new] >= 0) & (right[new] >= 0))
+            found[real] = self.v.stay_apart(left[new[real]], right[new[real]])
+            out[new] = found
+            self.tried[slot[new]], self.tried_result[slot[new]] = key[new], found
+            again = np.flatnonzero(self.tried[slot[new]] == key[new])
+            self.tried_result[slot[new[again]]] = found[again]
         return out
 
     def viterbi(self, units: list[str]) -> list[list[int]]:
@@ -220,15 +230,16 @@ class Encoder:
         lone = v.find((codes.astype(np.uint64) + np.uint64(1)).ravel() * np.uint64(_P)).reshape(rows, n)
         lone = np.where(lone >= 0, lone, -1 - codes.astype(np.int64))
         worst = float(v.scores.min(initial=0)) - 10
+        pieces = [lone]
+        for length in range(2, min(n, v.longest) + 1):
+            shift = np.uint64(pow(_P, length, 1 << 64))
+            hashes = (prefix[:, length:] - prefix[:, :-length] * shift) * np.uint64(_P)
+            pieces.append(v.find(hashes.ravel()).reshape(hashes.shape))
         for end in range(1, n + 1):
             for length in range(1, min(end, v.longest) + 1):
                 begin = end - length
-                if length == 1:
-                    found, at = lone[:, begin], np.arange(rows)
-                else:
-                    shift = np.uint64(pow(_P, length, 1 << 64))
-                    found = v.find((prefix[:, end] - prefix[:, begin] * shift) * np.uint64(_P))
-                    at = np.flatnonzero(found >= 0)
+                found = pieces[length - 1][:, begin]
+                at = np.flatnonzero(found >= 0) if length > 1 else np.arange(rows)
                 at = at[best[at, begin] > -np.inf]
                 if v.kind == "bpe" and begin:
                     at = at[self._may_join(last[at, begin], found[at])]
