@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilspark.llm import chat, decontaminate, langid, licences, pieces, simhash, substring, toxicity, warc
+from veilspark.llm import chat, decontaminate, langid, licences, neighbours, pieces, simhash, substring, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_repair": chat.op1_chat_repair,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash_bktree": simhash.op3_simhash_bktree,
     "op4_warc_salvage": warc.op4_warc_salvage,
     "op5_toxicity_fm": toxicity.op5_toxicity_fm,
+    "op6_nn_descent": neighbours.op6_nn_descent,
     "op7_qgram_decontam": decontaminate.op7_qgram_decontam,
     "op8_langid_crf": langid.op8_langid_crf,
     "op9_sentencepiece": pieces.op9_sentencepiece,
