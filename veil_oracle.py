@@ -337,6 +337,14 @@ ORACLE["union_spans"] = f"""WITH {LETTERS}, {found_cte('letters', ['EMAIL', 'IP_
   SELECT doc_id, entity_type, start, "end", score FROM ({_PLACE})"""
 ORACLE["dictionary_names"] = f"""WITH {LETTERS} SELECT doc_id, entity_type, start, "end", score FROM ({_PLACE}) UNION ALL
   SELECT doc_id, entity_type, start, "end", score FROM ({_PERSON})"""
+_TAIL = "13 + length(c_name) + length(n_name)"
+ORACLE["dictionary_long_names"] = f"""WITH {LETTERS}, p AS (SELECT doc_id, CAST(instr(text, 'schreef') - 1 AS INTEGER) AS start,
+    CASE doc_id % 6 WHEN 0 THEN 7 WHEN 1 THEN 8 + length(c_name) WHEN 2 THEN 12 + length(c_name)
+      WHEN 3 THEN {_TAIL} WHEN 4 THEN {_TAIL} + 16 ELSE {_TAIL} + 23 END AS size FROM letters)
+  SELECT doc_id, 'PERSON' AS entity_type, start, CAST(start + size AS INTEGER) AS "end", CAST(0.85 AS DOUBLE) AS score FROM p"""
+ORACLE["custom_recognizer"] = f"""WITH {LETTERS}, p AS (SELECT doc_id, instr(text, 'paspoort') AS place, text FROM letters)
+  SELECT doc_id, 'PASS_NOTE' AS entity_type, CAST(place - 1 AS INTEGER) AS start, CAST(place + 17 AS INTEGER) AS "end",
+    CAST(0.7 AS DOUBLE) AS score, substr(text, place, 18) AS text FROM p"""
 ORACLE["analyze_with_dictionary"] = f"""{_LETTER_DEFAULTS}, spans AS (SELECT doc_id, {SPAN} FROM found
     UNION ALL {_PLACE} UNION ALL {_PERSON})
   SELECT doc_id, {SPAN} FROM spans s WHERE NOT (entity_type IN ('PERSON', 'LOCATION') AND EXISTS (
@@ -389,7 +397,7 @@ def _iou(a: str, b: str) -> str:
 
 def evaluation(score: float = 0.3, threshold: float = 0.5) -> str:
     """CTEs up to ``outcomes(sample_id, entity_type, start, end, kind, n, wrong_*, low_*)``."""
-    return f"""WITH {LETTERS}, {found_cte('letters', _EVAL_TYPES)}, {_labels()},
+    return f"""WITH {LETTERS}, {found_cte('letters', None, CLASSIC)}, {_labels()},
   truth AS (SELECT sample_id, entity_type, start, "end", count(*) AS n, any_value(whole) AS whole FROM labels
     GROUP BY sample_id, entity_type, start, "end"),
   preds AS (SELECT doc_id AS sample_id, entity_type, start, "end", score, text FROM found WHERE score >= {score}),
@@ -433,8 +441,10 @@ def metrics(where: str = "", group: str = "GROUP BY entity_type", head: str = "e
 
 
 ORACLE["eval_metrics"] = f"{metrics()} SELECT entity_type, tp, fp, fn, {_scores()} FROM counts"
+ORACLE["eval_repeated_predictions"] = ORACLE["eval_metrics"]
 ORACLE["eval_overall"] = f"{metrics(group='', head='')} SELECT tp, fp, fn, {_scores()} FROM counts"
 ORACLE["eval_rollup"] = f"{metrics(group='GROUP BY ROLLUP (entity_type)')} SELECT entity_type, tp, fp, fn, {_scores()} FROM counts"
+ORACLE["evaluation_report"] = ORACLE["eval_rollup"]
 ORACLE["eval_metrics_table"] = f"{metrics()} SELECT entity_type, tp, fp, fn, {_scores(3)} FROM counts"
 _TWO = "WHERE entity_type IN ('EMAIL', 'IBAN')"
 ORACLE["eval_entity_filter"] = f"{metrics(_TWO)} SELECT entity_type, tp, fp, fn, {_scores()} FROM counts"
@@ -481,9 +491,10 @@ ORACLE["eval_error_summary"] = f"{_ERRORS} SELECT kind, CAST(sum(n) AS BIGINT) A
 
 
 def _gate(minimums: str, join: str) -> str:
-    return f"""{metrics()}, m AS (SELECT entity_type, {_scores()} FROM counts),
+    return f"""{metrics()}, m AS (SELECT entity_type, tp, fp, fn, {_scores()} FROM counts),
   t(entity_type, min_precision, min_recall) AS (VALUES {minimums}),
-  gated AS (SELECT coalesce(m.entity_type, t.entity_type) AS entity_type, coalesce(precision, 0.0) AS precision,
+  gated AS (SELECT coalesce(m.entity_type, t.entity_type) AS entity_type, coalesce(tp, 0) AS tp, coalesce(fp, 0) AS fp,
+    coalesce(fn, 0) AS fn, coalesce(precision, 0.0) AS precision,
     coalesce(recall, 0.0) AS recall, coalesce(f1, 0.0) AS f1, CAST(coalesce(min_precision, 0.0) AS DOUBLE) AS min_precision,
     CAST(coalesce(min_recall, 0.0) AS DOUBLE) AS min_recall,
     coalesce(precision, 0.0) >= coalesce(min_precision, 0.0) AND coalesce(recall, 0.0) >= coalesce(min_recall, 0.0) AS passed
@@ -497,7 +508,7 @@ ORACLE["gate_verdict"] = _gate(_FLOOR, "") + " SELECT coalesce(bool_and(passed),
 ORACLE["recall_bands"] = _gate(
     "('PERSON', 0.0, 0.75), ('LOCATION', 0.0, 0.75), ('ORGANIZATION', 0.0, 0.5), ('EMAIL', 0.0, 0.75)", "") + " SELECT * FROM gated"
 ORACLE["label_check"] = f"""WITH {LETTERS}, {_labels()} SELECT sample_id, entity_type, start, "end", stated,
-  substr(whole, start + 1, "end" - start) AS found FROM labels WHERE substr(whole, start + 1, "end" - start) <> stated"""
+  substr(whole, start + 1, "end" - start) AS found FROM labels WHERE substr(whole, start + 1, "end" - start) IS DISTINCT FROM stated"""
 ORACLE["pattern_only_types"] = f"{metrics()} SELECT entity_type, tp, fp, fn FROM counts"
 ORACLE["iou_pairs"] = f"""WITH p AS (SELECT l_partkey % 50 AS s1, l_partkey % 50 + 1 + l_suppkey % 20 AS e1,
     l_suppkey % 50 AS s2, l_suppkey % 50 + 1 + l_partkey % 20 AS e2 FROM lineitem),
@@ -506,11 +517,8 @@ ORACLE["iou_pairs"] = f"""WITH p AS (SELECT l_partkey % 50 AS s1, l_partkey % 50
     count(*) AS n FROM i GROUP BY 1"""
 
 
-def _golden(patterns, kinds=("EMAIL", "IBAN", "VAT_NUMBER", "IP_ADDRESS")) -> str:
-    keep = [k for k in kinds if names_of([k], patterns)]
-    found = found_cte("letters", keep, patterns) if keep else (
-        'found AS (SELECT 0::BIGINT AS doc_id, \'\' AS entity_type, 0 AS start, 0 AS "end" WHERE false)')
-    return f"""{found}, {_labels()},
+def _golden(patterns, kinds=None) -> str:
+    return f"""{found_cte("letters", kinds, patterns)}, {_labels()},
     e AS (SELECT DISTINCT sample_id AS id, entity_type, start, "end", 1 AS e FROM labels),
     d AS (SELECT DISTINCT doc_id AS id, entity_type, start, "end", 1 AS d FROM found),
     sides AS (SELECT * FROM e FULL JOIN d USING (id, entity_type, start, "end")),
@@ -527,8 +535,8 @@ ORACLE["golden_missing"] = f"""WITH {LETTERS}, {_golden(CLASSIC)}
 ORACLE["golden_extra"] = f'WITH {LETTERS}, {_golden(CLASSIC)} SELECT id, entity_type, start, "end" FROM sides WHERE e IS NULL'
 ORACLE["golden_extra_shown"] = ORACLE["golden_extra"] + ' ORDER BY id, start, "end", entity_type LIMIT 10'
 ORACLE["golden_default_types"] = (
-    f"WITH {LETTERS}, {_golden(CLASSIC, ('EMAIL', 'IBAN'))} "
+    f"WITH {LETTERS}, {_golden(CLASSIC, DEFAULTS)} "
     f"SELECT entity_type, expected, detected, correct, {_GOLDEN_SCORES} FROM report")
 ORACLE["golden_profiles"] = f"""WITH {LETTERS}, {_golden(CLASSIC)}
-  SELECT entity_type, recall AS classic, CAST(CASE WHEN expected > 0 THEN 0.0 END AS DOUBLE) AS gpu
+  SELECT entity_type, recall AS classic, CAST(CASE WHEN expected > 0 OR entity_type = 'MAC_ADDRESS' THEN 0.0 END AS DOUBLE) AS gpu
   FROM (SELECT *, {_GOLDEN_SCORES} FROM report)"""

@@ -206,7 +206,8 @@ class Recognizer:
     ``validator`` is the name of a registered check or a ``Column -> Column``
     function over the matched text; matches that fail it are dropped.
     ``lead`` optionally states how every match begins (a regular expression);
-    it is a speed hint and must not exclude a real match.
+    it is a speed hint and must not exclude a real match.  ``group`` is set for
+    built-in rows only: they share a guard with rows that begin alike.
     """
 
     recognizer: str
@@ -218,12 +219,22 @@ class Recognizer:
     language: str = DEFAULT_LANGUAGE
     context: tuple[str, ...] = ()
     lead: str | None = None
+    group: str | None = None
+
+
+def _builtin_group(lead: str | None) -> str | None:
+    if lead is None:
+        return None
+    if lead.startswith(_HEX):
+        return "hex"
+    return "capital" if lead[0].isalpha() or lead.startswith(("[A-Z", "[B")) else "digit"
 
 
 def builtin_catalogue() -> list[Recognizer]:
     """Every built-in pattern as catalogue rows."""
     return [
-        Recognizer(name, entity, pattern, regex, score, validator, lead=lead)
+        Recognizer(name, entity, pattern, regex, score, validator, lead=lead,
+                   group=_builtin_group(lead))
         for name, entity, patterns, validator in _PATTERN_TABLE
         for pattern, regex, score, lead in patterns
     ]
@@ -262,7 +273,7 @@ def resolve_entities(entities: Iterable[str] | str | None) -> tuple[str, ...] |
 
 def parse_entity_list(text: str) -> tuple[str, ...]:
     """``"email, iban"`` -> ``("EMAIL", "IBAN")``."""
-    return tuple(dict.fromkeys(p.strip().upper() for p in text.split(",")))
+    return tuple(dict.fromkeys(p.strip().upper() for p in text.split(",") if p.strip()))
 
 
 def recognizer_from_config(entry: Mapping) -> list[Recognizer]:
@@ -300,23 +311,22 @@ def select(
     """
     if profile not in PROFILES:
         raise ValueError(f"unknown profile {profile!r}; known: {', '.join(PROFILES)}")
-    names, profile_detectors = PROFILES[profile]
+    names, _ = PROFILES[profile]
     rows = list(catalogue) if catalogue is not None else [
         r for r in builtin_catalogue() if r.recognizer in names
     ]
     rows += list(extra)
     available = {d: tuple(t) for d, t in (detectors or {}).items()}
-    # the zero-shot model displaces the name model
-    if "gliner" in profile_detectors or "gliner" in available:
+    # a zero-shot model that runs displaces the name model
+    if "gliner" in available:
         available.pop("spacy", None)
     wanted = resolve_entities(entities)
+    # what an active source yields; external spans may be of any type
     contract = {r.entity_type for r in rows}
-    for d in profile_detectors:
-        contract.update(DETECTOR_ENTITIES[d])
     for types in available.values():
         contract.update(types)
     if wanted is not None:
-        explicit = entities is not None and wanted != DEFAULT_ENTITIES
+        explicit = entities is not None and wanted != DEFAULT_ENTITIES and "external" not in available
         unknown = [e for e in wanted if e not in contract]
         if explicit and (len(unknown) == len(wanted) or (strict_contract and unknown)):
             raise ValueError(

@@ -74,17 +74,19 @@ def _span_rows(rows: DataFrame, id_col: str, text_col: str, spans_col: str, scor
 
 
 def unique_spans(rows: DataFrame, scored: bool) -> DataFrame:
-    """Equal spans as one row with a count ``n``.
-
-    Of equal predictions only the first in result order can be matched, so the
-    others are false positives: ``n - 1`` of them.
+    """Equal spans as one row with a count ``n``; predictions of unequal score stay apart until
+    :func:`evaluate` has dropped those under its threshold.
     """
-    identity = ["sample_id", "entity_type", "start", "end"]
+    identity = ["sample_id", "entity_type", "start", "end", *(["score"] if scored else [])]
     extras = [c for c in ("text", "context") if c in rows.columns]
-    aggs = [F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in extras]]
-    if scored:
-        aggs.append(F.max("score").alias("score"))
-    return rows.groupBy(*identity).agg(*aggs)
+    return rows.groupBy(*identity).agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in extras])
+
+
+def _scored_once(predictions: DataFrame) -> DataFrame:
+    """Equal predictions of any score as one row: the first in result order can be matched, ``n - 1`` are spurious."""
+    extras = [c for c in ("text", "context") if c in predictions.columns]
+    return predictions.groupBy("sample_id", "entity_type", "start", "end").agg(
+        F.sum("n").alias("n"), *[F.first(c).alias(c) for c in extras], F.max("score").alias("score"))
 
 
 @dataclass
@@ -278,7 +280,7 @@ def evaluate(
     if not 0 < iou_threshold <= 1:
         raise ValueError("iou_threshold must be in (0, 1]")
     # both sides are read twice below; the texts behind them must not be
-    p = cut_lineage(predictions.filter(F.col("score") >= score_threshold))
+    p = cut_lineage(_scored_once(predictions.filter(F.col("score") >= score_threshold)))
     truth = cut_lineage(truth)
     key = ["sample_id", "entity_type", "start", "end"]
     has_text = "text" in truth.columns and "text" in p.columns
@@ -352,9 +354,11 @@ def gate(metrics: DataFrame, thresholds: DataFrame, skip_missing: bool = False)
     """
     how = "inner" if skip_missing else "full_outer"
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0)).alias(c)
-    joined = metrics.select("entity_type", "precision", "recall", "f1").join(
+    counts = [c for c in ("tp", "fp", "fn") if c in metrics.columns]
+    joined = metrics.select("entity_type", *counts, "precision", "recall", "f1").join(
         thresholds, "entity_type", how).select(
-        "entity_type", *[zero(c) for c in ("precision", "recall", "f1", "min_precision", "min_recall")])
+        "entity_type", *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in counts],
+        *[zero(c) for c in ("precision", "recall", "f1", "min_precision", "min_recall")])
     return joined.withColumn("passed", (F.col("precision") >= F.col("min_precision"))
                              & (F.col("recall") >= F.col("min_recall")))
 

@@ -131,28 +131,32 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
 
-def dictionary_spans(docs: DataFrame, gazetteer: DataFrame, keys: list[str], text_col: str = "text",
-                     max_words: int = 4) -> DataFrame:
+def dictionary_spans(docs: DataFrame, gazetteer: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
     """Known names in a text: ``keys, entity_type, start, end, score, recognizer, pattern``.
 
-    Runs of 1..``max_words`` words are joined on equality with the names, which
-    are unique per type on their side; the longest name per start wins.  No
-    broadcast is forced: Spark broadcasts the names if their measured size is
-    under its threshold, and otherwise shuffles, splitting frequent words.
+    A word is looked at further only if some name begins with it, and then only
+    the runs of as many words as those names have are made and joined with the
+    names; names may have any number of words.  The longest name per start
+    wins.  No broadcast is forced: Spark broadcasts the first words and the names
+    if their measured size is under its threshold, and otherwise shuffles.
     Words are joined by one space, so a name matches across line breaks and
     dashes; the offsets are those of the text.
     """
     names = gazetteer.select(
         F.array_join(words_of(F.col("name")), " ").alias("_name"), "entity_type"
     ).filter("_name <> ''").distinct()
+    sized = names.select("_name", F.split("_name", " ").alias("_w"))
+    first = sized.groupBy(F.col("_w")[0].alias("_first")).agg(F.collect_set(F.size("_w")).alias("_lengths"))
+    longest = sized.agg(F.coalesce(F.max(F.size("_w")), F.lit(1)).alias("_n")).scalar()
     toks = docs.select(*keys, F.col(text_col).alias("_x")).select(
-        *keys, F.expr(tokens_sql("_x")).alias("_t"))
-    run = ("named_struct('name', array_join(transform(slice(_t, i + 1, n), w -> w.text), ' '), "
-           "'start', t.start, 'end', _t[i + n - 1].end)")
-    # no run reaches past the last word
-    runs = (f"flatten(transform(_t, (t, i) -> transform(sequence(1, least({int(max_words)}, size(_t) - i)), "
-            f"n -> {run})))")
-    grams = toks.select(*keys, F.explode_outer(F.expr(runs)).alias("_g"))
+        *keys, F.expr(tokens_sql("_x")).alias("_t"), longest.alias("_n"))
+    # each word with those that a name beginning there could span
+    ahead = toks.select(*keys, F.explode_outer(F.expr("transform(_t, (t, i) -> slice(_t, i + 1, _n))")).alias("_a"))
+    ahead = ahead.filter(F.col("_a").isNotNull()).withColumn("_first", F.expr("_a[0].text")).join(first, "_first")
+    run = ("named_struct('name', array_join(transform(slice(_a, 1, n), w -> w.text), ' '), "
+           "'start', _a[0].start, 'end', _a[n - 1].end)")
+    runs = f"transform(filter(_lengths, n -> n <= size(_a)), n -> {run})"
+    grams = ahead.select(*keys, F.explode_outer(F.expr(runs)).alias("_g"))
     grams = grams.filter(F.col("_g").isNotNull()).select(
         *keys, F.col("_g.name").alias("_name"), F.col("_g.start").alias("start"), F.col("_g.end").alias("end"))
     found = grams.join(names, "_name").groupBy(*keys, "start", "entity_type").agg(F.max("end").alias("end"))

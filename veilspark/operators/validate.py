@@ -80,7 +80,7 @@ def bad_labels(samples: DataFrame, id_col: str = "sample_id", text_col: str = "t
         .select(
             id_col, label["entity_type"].alias("entity_type"), label["start"].alias("start"),
             label["end"].alias("end"), label["text"].alias("stated"), found.alias("found"))
-        .filter(F.col("stated").isNotNull() & (F.col("found") != F.col("stated"))))
+        .filter(F.col("stated").isNotNull() & ~F.col("found").eqNullSafe(F.col("stated"))))
 
 
 def bad_spans(spans: DataFrame) -> DataFrame:

@@ -67,6 +67,13 @@ def golden_by_profile(golden: DataFrame, profiles: Iterable[str], value: str = "
     return E.compare_profiles(reports, value)
 
 
+def print_rows(df: DataFrame) -> None:
+    """Every row of a report, fetched partition by partition; one line each."""
+    print("\t".join(df.columns))
+    for row in df.toLocalIterator():
+        print("\t".join("" if v is None else str(v) for v in row))
+
+
 def run_evaluation(spark: SparkSession, args: argparse.Namespace) -> int:
     try:
         samples = readers.read_samples(spark, args.data)
@@ -83,9 +90,9 @@ def run_evaluation(spark: SparkSession, args: argparse.Namespace) -> int:
     result = evaluate_samples(samples, args.iou_threshold, args.score_threshold, entities,
                               profile=args.profile).persisted()
     gated = result.gate(thresholds)
-    gated.orderBy("entity_type").show(100, False)
+    print_rows(gated.orderBy("entity_type"))
     if args.show_errors:
-        result.error_samples().show(1000, False)
+        print_rows(result.error_samples())
     if args.output:
         sinks.write_report(result.report(), args.output, mode="overwrite")
     if not E.verdict(gated).first()["passed"]:
@@ -98,9 +105,9 @@ def run_evaluation(spark: SparkSession, args: argparse.Namespace) -> int:
 def run_golden(spark: SparkSession, args: argparse.Namespace) -> int:
     golden = readers.read_golden(spark, args.data)
     compared = golden_comparison(golden, profile=args.profile)
-    compared.report.orderBy("entity_type").show(100, False)
-    compared.missing.show(1000, False)
-    compared.extra_shown().show(10, False)
+    print_rows(compared.report.orderBy("entity_type"))
+    print_rows(compared.missing)
+    print_rows(compared.extra_shown())
     if args.output:
         sinks.write_report(compared.to_json(golden), args.output, mode="overwrite")
     return 0
@@ -109,6 +116,8 @@ def run_golden(spark: SparkSession, args: argparse.Namespace) -> int:
 def run_table(spark: SparkSession, args: argparse.Namespace) -> int:
     texts = readers.read_texts(spark, args.input, args.format)
     entities = catalog.parse_entity_list(args.entities) if args.entities else None
+    if entities == ("ALL",):
+        entities = "all"
     if args.command == "analyze":
         sinks.write_table(analyze(texts, entities, profile=args.profile), args.output)
     else:

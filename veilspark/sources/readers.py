@@ -43,14 +43,11 @@ def read_texts(spark: SparkSession, path: str, fmt: str = "parquet", id_col: str
 
 
 def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Repartition a source that has fewer partitions than there are cores.
+    """Repartition a source if asked to: a single small file would keep one core busy.
 
-    A scan is CPU work per character; one file with one row group would keep a
-    single core busy.  A source with enough splits, as any large one has, is
-    left alone: its text is never shuffled.
+    Without ``partitions`` the source's own splits are kept and no text is shuffled.
     """
-    wanted = partitions or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
+    return df.repartition(partitions) if partitions else df
 
 
 def read_golden(spark: SparkSession, path: str) -> DataFrame:
@@ -60,7 +57,9 @@ def read_golden(spark: SparkSession, path: str) -> DataFrame:
 
 def golden_spans(golden: DataFrame) -> DataFrame:
     """``id, entity_type, start, end`` of every label."""
-    return golden.select("id", F.explode("entities").alias("e")).select("id", "e.entity_type", "e.start", "e.end")
+    # the outer form: for explode the optimizer would put the whole array into a filter below
+    exploded = golden.select("id", F.explode_outer("entities").alias("e")).filter(F.col("e").isNotNull())
+    return exploded.select("id", "e.entity_type", "e.start", "e.end")
 
 
 def _label_array(spans: str, text: str, start: str, end: str) -> Column:
