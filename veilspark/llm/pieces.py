@@ -9,7 +9,7 @@ a path only if merging the two pieces' text gives just these two pieces back, wh
 border tell; the one path that remains is the result of the merges, so ids equal those of the merge procedure. Units that start with several space marks, whose merges tie,
 and those of lengths that under ``FEW`` units share, which would advance nearly alone, are merged directly.
 
-Encoded units are remembered between the batches of a worker, about ``MEMO`` of them. The vocabulary is read on the driver and
+Encoded units are remembered between the batches of a worker, in two generations of about ``MEMO``. The vocabulary is read on the driver and
 broadcast (its size does not depend on the data). No shuffle.
 
 Results for odd input: null and empty texts have no ids; characters outside the vocabulary become their UTF-8 bytes'
@@ -32,7 +32,7 @@ from veilspark.llm.common import table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-MEMO = 250_000
+MEMO = 120_000
 STOPS = ",.!?;:"
 SUB_BATCH = 1024
 FEW = 16
@@ -197,7 +197,9 @@ class Encoder:
         self.tried, self.tried_result = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, bool)
         self._forget()
 
-    def _forget(self) -> None:
+    def _forget(self, keep: bool = False) -> None:
+        """Start a new memory of encoded units; the one before is kept to look units up in."""
+        self.older = (self.memo, self.flat, self.starts, self.lengths) if keep else ({}, None, None, None)
         self.memo: dict[str, int] = {}
         self.flat, self.starts, self.lengths = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
@@ -220,40 +222,40 @@ class Encoder:
     def viterbi(self, units: list[str]) -> list[list[int]]:
         """Piece ids of units of one length; -1 - code for letters outside the vocabulary."""
         v, rows, n = self.v, len(units), len(units[0])
-        codes = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(rows, n)
-        prefix = np.zeros((rows, n + 1), np.uint64)
+        # a row for each place and a column for each unit, so that what one step touches lies together
+        codes = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(rows, n).T
+        codes = np.ascontiguousarray(codes).astype(np.uint64)
+        prefix = np.zeros((n + 1, rows), np.uint64)
         for i in range(n):
-            prefix[:, i + 1] = prefix[:, i] * np.uint64(_P) + codes[:, i] + np.uint64(1)
-        best = np.full((rows, n + 1), -np.inf)
-        best[:, 0] = 0
-        last, back = np.full((rows, n + 1), -1, np.int64), np.zeros((rows, n + 1), np.int64)
-        lone = v.find((codes.astype(np.uint64) + np.uint64(1)).ravel() * np.uint64(_P)).reshape(rows, n)
-        lone = np.where(lone >= 0, lone, -1 - codes.astype(np.int64))
+            prefix[i + 1] = prefix[i] * np.uint64(_P) + codes[i] + np.uint64(1)
+        best = np.full((n + 1, rows), -np.inf)
+        best[0] = 0
+        last, back = np.full((n + 1, rows), -1, np.int64), np.zeros((n + 1, rows), np.int64)
         worst = float(v.scores.min(initial=0)) - 10
-        pieces = [lone]
-        for length in range(2, min(n, v.longest) + 1):
+        pieces = []
+        for length in range(1, min(n, v.longest) + 1):
             shift = np.uint64(pow(_P, length, 1 << 64))
-            hashes = (prefix[:, length:] - prefix[:, :-length] * shift) * np.uint64(_P)
+            hashes = (prefix[length:] - prefix[:-length] * shift) * np.uint64(_P)
             pieces.append(v.find(hashes.ravel()).reshape(hashes.shape))
+        pieces[0] = np.where(pieces[0] >= 0, pieces[0], -1 - codes.astype(np.int64))
         for end in range(1, n + 1):
             for length in range(1, min(end, v.longest) + 1):
                 begin = end - length
-                found = pieces[length - 1][:, begin]
-                at = np.flatnonzero(found >= 0) if length > 1 else np.arange(rows)
-                at = at[best[at, begin] > -np.inf]
+                found = pieces[length - 1][begin]
+                at = np.flatnonzero((found >= 0) & (best[begin] > -np.inf)) if length > 1 else np.arange(rows)
                 if v.kind == "bpe" and begin:
-                    at = at[self._may_join(last[at, begin], found[at])]
+                    at = at[self._may_join(last[begin][at], found[at])]
                 gain = 0.0 if v.kind == "bpe" else np.where(found[at] >= 0, v.scores[np.maximum(found[at], 0)], worst)
-                score = best[at, begin] + gain
-                better = score > best[at, end]
+                score = best[begin][at] + gain
+                better = score > best[end][at]
                 at = at[better]
-                best[at, end], last[at, end], back[at, end] = score[better], found[at], length
+                best[end][at], last[end][at], back[end][at] = score[better], found[at], length
         out: list[list[int]] = [[] for _ in units]
         places = np.full(rows, n)
         while (open_rows := np.flatnonzero(places)).size:
-            for row, piece in zip(open_rows.tolist(), last[open_rows, places[open_rows]].tolist()):
+            for row, piece in zip(open_rows.tolist(), last[places[open_rows], open_rows].tolist()):
                 out[row].append(piece)
-            places[open_rows] -= back[open_rows, places[open_rows]]
+            places[open_rows] -= back[places[open_rows], open_rows]
         return [ids[::-1] for ids in out]
 
     def _bytes(self, ids: list[int]) -> list[int]:
@@ -272,8 +274,12 @@ class Encoder:
     def _learn(self, units: set[str]) -> None:
         by_length: dict[int, list[str]] = {}
         done: list[tuple[str, list[int]]] = []
+        held, flat, starts, lengths = self.older
         for unit in sorted(units):
-            if self.v.kind == "bpe" and unit.startswith(MARK * 2):
+            place = held.get(unit)
+            if place is not None:
+                done.append((unit, flat[starts[place]:starts[place] + lengths[place]].tolist()))
+            elif self.v.kind == "bpe" and unit.startswith(MARK * 2):
                 done.append((unit, self.v.merge(unit)))
             else:
                 by_length.setdefault(len(unit), []).append(unit)
@@ -296,7 +302,7 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         if len(self.memo) > MEMO:
-            self._forget()
+            self._forget(keep=True)
         cut = [self._units(t) for t in texts]
         units = [u for c in cut for u in c]
         new = set(units) - self.memo.keys()
