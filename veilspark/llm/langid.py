@@ -31,7 +31,7 @@ from veilspark.llm.common import remainder, table
 BITS = 18
 GRAMS = 4
 SEGMENT = 64
-MEMO = 400_000
+MEMO = 250_000
 SUB_BATCH = 200_000
 ROWS_PER_LABEL = 500
 SPANS = 4
@@ -303,7 +303,9 @@ def training_runs(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_c
             yield pd.DataFrame(rows, columns=["label", "words"])
 
     picked = chosen.select(F.col(label_col).alias("label"), F.col(text_col).alias("text"))
-    found = picked.mapInPandas(take, "label string, words string").collect()
+    # the hash picks about rows_per_label rows a language; the limit holds where very many rows share an id
+    bound = 4 * rows_per_label * spans * len(counts)
+    found = picked.mapInPandas(take, "label string, words string").limit(bound).collect()
     return [(r.label, r.words.split()) for r in found]
 
 

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import cut, table, text_bytes
+from veilspark.llm.common import cut, discard, table, text_bytes
 
 BLOCKS = 5
 RADIUS = 3
@@ -199,7 +199,8 @@ def components(edges: DataFrame) -> DataFrame:
         joined = large.join(least, "u")
         small = (joined.select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(joined.select("u", F.col("m").alias("v"))).where("u != v").distinct())
-        now = cut(small, "stars")
+        held, now = now, cut(small, "stars")
+        discard(held)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
@@ -209,7 +210,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id, mark, fp, root, component): ``root`` names the component, ``component`` is the smallest id in it."""
     marked = cut(fingerprints(docs, id_col, text_col), "fingerprints")
     first = cut(marked.groupBy("fp").agg(F.min("id").alias("first")), "distinct")
-    found = components(cut(links(first.select("fp"), radius, blocks, shard), "near"))
+    near = cut(links(first.select("fp"), radius, blocks, shard), "near")
+    found = components(near)
     rooted = found.join(first, found["node"] == first["fp"]).select("node", "root", "first")
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component"))
     of_fp = rooted.select("node", "root").join(smallest, "root").select(F.col("node").alias("fp"), "root", "component")
@@ -217,6 +219,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = cut(first.join(of_fp, "fp", "left").select(
         "fp", F.coalesce("root", "fp").alias("root"),
         F.when(F.col("root").isNull(), F.col("first")).otherwise(F.col("component")).alias("component")), "classes")
+    discard(first, near)
     return marked.join(classes, "fp").select("id", "mark", "fp", "root", "component")
 
 

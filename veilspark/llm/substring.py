@@ -32,7 +32,7 @@ from veilspark.llm.common import cut, discard, table, text_bytes
 
 WINDOW = 13
 SEED = 5
-MEMO = 500_000
+MEMO = 300_000
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _S29, _S32 = np.uint64(29), np.uint64(32)
 

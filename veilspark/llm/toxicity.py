@@ -11,7 +11,7 @@ Only terms of at least ``MIN_ROWS`` sampled rows and ``MIN_SHARE`` of them get w
 every text and needs no shuffle.
 
 Results for odd input: a null or empty text has no terms and gets the score of the bias; rows with null id, text or
-label are not learned from; a label on several rows counts several times; with labels of one class only the
+label are not learned from; equal labels of one id count once; with labels of one class only the
 score is that label, with none at all 0; repeated rows are each scored; an empty table gives an empty result.
 Other columns are ignored.
 """
@@ -66,8 +66,8 @@ class Buckets(dict):
 
 def _sums(values: np.ndarray, number: np.ndarray, rows: int) -> np.ndarray:
     if values.ndim == 1:
-        return np.bincount(number, values, rows)
-    return np.stack([np.bincount(number, values[:, f], rows) for f in range(values.shape[1])], axis=1)
+        return np.bincount(number, values, rows).astype(float)  # of no values at all it counts in integers
+    return np.stack([np.bincount(number, values[:, f], rows) for f in range(values.shape[1])], axis=1).astype(float)
 
 
 class FactorizationMachine:
@@ -151,7 +151,7 @@ def trained(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "do
     share = F.when(F.col("y") == 1, min(whole, -(-rows_per_class * whole // counts.get(1, 1)))).otherwise(
         min(whole, -(-rows_per_class * whole // counts.get(0, 1))))
     # about rows_per_class rows a class, so the broadcast has that bound at any size of the table
-    chosen = F.broadcast(usable.where(F.pmod(F.xxhash64("id"), F.lit(whole)) < share))
+    chosen = F.broadcast(usable.where(F.pmod(F.xxhash64("id"), F.lit(whole)) < share).distinct())
 
     def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo = Buckets()
