@@ -221,6 +221,11 @@ class Encoder:
 
     def viterbi(self, units: list[str]) -> list[list[int]]:
         """Piece ids of units of one length; -1 - code for letters outside the vocabulary."""
+        flat, counts = self._viterbi(units)
+        return [part.tolist() for part in np.split(flat, np.cumsum(counts)[:-1])]
+
+    def _viterbi(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same end to end, and the number of each unit's ids."""
         v, rows, n = self.v, len(units), len(units[0])
         # a row for each place and a column for each unit, so that what one step touches lies together
         codes = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(rows, n).T
@@ -250,52 +255,66 @@ class Encoder:
                 better = score > best[end][at]
                 at = at[better]
                 best[end][at], last[end][at], back[end][at] = score[better], found[at], length
-        out: list[list[int]] = [[] for _ in units]
-        places = np.full(rows, n)
-        while (open_rows := np.flatnonzero(places)).size:
-            for row, piece in zip(open_rows.tolist(), last[places[open_rows], open_rows].tolist()):
-                out[row].append(piece)
-            places[open_rows] -= back[places[open_rows], open_rows]
-        return [ids[::-1] for ids in out]
-
-    def _bytes(self, ids: list[int]) -> list[int]:
-        if min(ids, default=0) >= 0:
-            return ids
-        out: list[int] = []
-        for i in ids:
-            if i >= 0:
-                out.append(i)
-            elif self.v.byte_ids:
-                out += [self.v.byte_ids[b] for b in chr(-1 - i).encode("utf-8", "surrogatepass")]
-            else:
-                out.append(self.v.unknown)
-        return out
+        # follow the back pointers of all units at once, last piece first
+        places, column, counts = np.full(rows, n), np.arange(rows), np.zeros(rows, np.int64)
+        steps = []
+        while (live := places > 0).any():
+            steps.append(last[places, column])
+            counts += live
+            places = places - np.where(live, back[places, column], 0)
+        pieces_of = np.stack(steps[::-1], axis=1)
+        return pieces_of[np.arange(len(steps)) >= len(steps) - counts[:, None]], counts
+
+    def _expanded(self, flat: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Letters outside the vocabulary as the pieces of their bytes."""
+        strange = np.unique(flat[flat < 0]).tolist()
+        if not strange:
+            return flat, counts
+        sizes, pieces_of = np.ones(len(flat), np.int64), {}
+        for i in strange:
+            data = chr(-1 - i).encode("utf-8", "surrogatepass")
+            pieces_of[i] = [self.v.byte_ids[b] for b in data] if self.v.byte_ids else [self.v.unknown]
+            sizes[flat == i] = len(pieces_of[i])
+        out, starts = np.repeat(flat, sizes), np.cumsum(sizes) - sizes
+        for i, ids in pieces_of.items():
+            at = starts[flat == i]
+            for k, piece in enumerate(ids):
+                out[at + k] = piece
+        return out, np.bincount(np.repeat(np.arange(len(counts)), counts), sizes, len(counts)).astype(np.int64)
 
     def _learn(self, units: set[str]) -> None:
-        by_length: dict[int, list[str]] = {}
-        done: list[tuple[str, list[int]]] = []
         held, flat, starts, lengths = self.older
-        for unit in sorted(units):
-            place = held.get(unit)
-            if place is not None:
-                done.append((unit, flat[starts[place]:starts[place] + lengths[place]].tolist()))
-            elif self.v.kind == "bpe" and unit.startswith(MARK * 2):
-                done.append((unit, self.v.merge(unit)))
+        known = [u for u in units if u in held]
+        names, runs = [known], []
+        if known:
+            place = np.fromiter(map(held.__getitem__, known), np.int64, len(known))
+            runs.append((gather(flat, starts[place], lengths[place])[0], lengths[place]))
+        by_length: dict[int, list[str]] = {}
+        direct: list[str] = []
+        for unit in sorted(units.difference(known)):
+            if self.v.kind == "bpe" and unit.startswith(MARK * 2):
+                direct.append(unit)
             else:
                 by_length.setdefault(len(unit), []).append(unit)
         for length, some in by_length.items():
             if self.v.kind == "bpe" and len(some) < FEW:
-                done += [(unit, self.v.merge(unit)) for unit in some]
+                direct += some
                 continue
             step = max(1, 2_000_000 // (length + 1))
             for at in range(0, len(some), step):
-                done += zip(some[at:at + step], self.viterbi(some[at:at + step]))
-        encoded = [self._bytes(ids) for _, ids in done]
-        lengths = np.array([len(ids) for ids in encoded], np.int64)
-        self.memo.update(zip((u for u, _ in done), range(len(self.starts), len(self.starts) + len(done))))
-        self.starts = np.concatenate((self.starts, len(self.flat) + np.cumsum(lengths) - lengths))
-        self.lengths = np.concatenate((self.lengths, lengths))
-        self.flat = np.concatenate((self.flat, np.array([i for ids in encoded for i in ids], np.int32)))
+                names.append(some[at:at + step])
+                runs.append(self._expanded(*self._viterbi(names[-1])))
+        if direct:
+            merged = [self.v.merge(unit) for unit in direct]
+            names.append(direct)
+            runs.append(self._expanded(np.array([i for ids in merged for i in ids], np.int64),
+                                       np.array([len(ids) for ids in merged], np.int64)))
+        counts = np.concatenate([c for _, c in runs])
+        first = len(self.starts)
+        self.memo.update(zip((u for some in names for u in some), range(first, first + len(counts))))
+        self.starts = np.concatenate((self.starts, len(self.flat) + np.cumsum(counts) - counts))
+        self.lengths = np.concatenate((self.lengths, counts))
+        self.flat = np.concatenate((self.flat, *(f.astype(np.int32) for f, _ in runs)))
 
     def _units(self, text: str | None) -> list[str]:
         return self.v.unit.findall(MARK + text.replace(" ", MARK)) if text else []
