@@ -1,4 +1,5 @@
 import re
+import textwrap
 
 from veilspark.llm import licences as lic
 from veilspark.llm.common import table
@@ -55,3 +56,50 @@ def test_plan_is_native(spark):
     plan = lic.op2_license_rules(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("BroadcastHashJoin") >= 2 and "SortMergeJoin" not in plan
     assert not re.search("Python|Pandas|Arrow|CartesianProduct|BroadcastNestedLoop", plan)
+
+
+#: How licences are laid out in files: the header of Apache-2.0 as its appendix has it, the others as their authors publish them.
+APACHE = """   Copyright 2020 A. Author
+
+   Licensed under the Apache License, Version 2.0 (the "License");
+   you may not use this file except in compliance with the License.
+   You may obtain a copy of the License at
+
+       http://www.apache.org/licenses/LICENSE-2.0
+
+   Unless required by applicable law or agreed to in writing, software
+   distributed under the License is distributed on an "AS IS" BASIS,
+   WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+   See the License for the specific language governing permissions and
+   limitations under the License.
+"""
+BREAKS = {"mit-text": ["The above", "THE SOFTWARE IS"], "mit-grant": ["The above"], "isc-text": ["THE SOFTWARE IS"],
+          "bsd-2-text": ["Redistributions of", "Redistributions in"],
+          "bsd-3-text": ["Redistributions of", "Redistributions in", "Neither"],
+          "gpl-3-header": ["This program is distributed"], "gpl-2-header": ["This program is distributed"],
+          "unlicense-text": ["Anyone is free"]}
+
+
+def test_canonical_layouts(spark):
+    crlf, marked = APACHE.replace("\n", "\r\n"), re.sub("(?m)^ *", " * ", APACHE)
+    before = APACHE.replace("LICENSE-2.0\n\n", "LICENSE-2.0\n")
+    after = APACHE.replace("License at\n\n", "License at\n")
+    rows = [(name, text) for name, text in (("plain", APACHE), ("crlf", crlf), ("marked", marked), ("before", before),
+                                            ("after", after))]
+    for rule, _, text in lic.RULES:
+        for start in BREAKS.get(rule, ()):
+            text = text.replace(" " + start, "\n\n" + start)
+        for width in (60, 78):
+            for indent in ("", "    "):
+                paragraphs = [textwrap.fill(p, width, initial_indent=indent, subsequent_indent=indent, break_long_words=False,
+                                            break_on_hyphens=False) for p in text.split("\n\n")]
+                rows.append((rule, "A name\n\n" + "\n\n".join(paragraphs) + "\n\nAnother line\n"))
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {}
+    for r in lic.licences(docs).collect():
+        got.setdefault(r.id, {})[r.rule] = r.licence
+    for i, (rule, _) in enumerate(rows):
+        if i < 5:
+            assert list(got.get(i, {}).values()) == ["Apache-2.0"], rule
+        else:
+            assert rule in got.get(i, {}), rows[i]

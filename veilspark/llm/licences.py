@@ -101,6 +101,15 @@ RULES = (
      "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("cc0-work", "CC0-1.0",
      "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
+    # the same header with blank lines around its address, or one before it: what they part are sentences of their own, of
+    # which the address, and the line that leads to it, are not asked for
+    *((name, "Apache-2.0",
+       "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance "
+       f"with the License. {address}Unless required by applicable law or agreed to in writing, software distributed under "
+       "the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or "
+       "implied. See the License for the specific language governing permissions and limitations under the License.")
+      for name, address in (("apache-2-header-spaced", ""),
+                            ("apache-2-header-spaced-before", "http://www.apache.org/licenses/LICENSE-2.0 "))),
 )
 # end of fixed values
 
