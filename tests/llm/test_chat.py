@@ -97,3 +97,22 @@ def test_odd_rows(spark):
     assert legal(text[3]) and text[3].index("a") >= 0 and re.search(r"a\nb|a<", text[3])
     assert text[4].count("<|im_start|>") == 3000 and legal(text[4])
     assert chat.repair(frame.limit(0)).count() == 0
+
+
+def test_chunks_by_rank(spark):
+    draw = random.Random(7)
+    hot = [(None, i % 8 if i % 3 else None, draw.choice(["user", "assistant", None]), f"{i} " + "w" * 300) for i in range(2000)]
+    sparse = [(5, 1_700_000_000 + 977 * i, draw.choice(["system", "user", "assistant", "x"]), f"{i}") for i in range(700)]
+    frame = spark.createDataFrame(hot + sparse, "conv_id long, turn long, role string, text string")
+    one = {}
+    for chunk, group in ((4000, 256), (50, 256), (9, 3)):
+        by = {}
+        for r in chat.repair(frame, chunk=chunk, group=group).orderBy("conv", "chunk", "place").collect():
+            by.setdefault(r.conv, []).append(r)
+        for conv, rows in by.items():
+            size = {None: 2000, 5: 700}[conv]
+            assert [(r.chunk, r.place) for r in rows] == [(i // chunk, i % chunk) for i in range(size)]
+            keys = [(r.turn is None, r.turn or 0, r.given is not None, r.given or "", r.text) for r in rows]
+            assert keys == sorted(keys)
+            assert legal("".join(r.piece for r in rows)) and [r for r in rows if r.closing] in ([], rows[-1:])
+            assert one.setdefault(conv, cost_of(rows)) == cost_of(rows)
