@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilspark.llm import chat, decontaminate, langid, licences, neighbours, pieces, simhash, substring, toxicity, warc
+from veilspark.llm import chat, decontaminate, langid, licences, neighbours, packing, pieces, simhash, substring, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_repair": chat.op1_chat_repair,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_langid_crf": langid.op8_langid_crf,
     "op9_sentencepiece": pieces.op9_sentencepiece,
     "op10_substring_dedup": substring.op10_substring_dedup,
+    "op11_bin_slack": packing.op11_bin_slack,
 }
 
 ORACLE: dict[str, str] = {
