@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilspark.llm import (chat, decontaminate, langid, licences, neighbours, packing, pieces, simhash, structure, substring,
-                           toxicity, warc)
+from veilspark.llm import (chat, decontaminate, langid, licences, neighbours, packing, phrases, pieces, simhash, structure,
+                           substring, toxicity, warc)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_repair": chat.op1_chat_repair,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sentencepiece": pieces.op9_sentencepiece,
     "op10_substring_dedup": substring.op10_substring_dedup,
     "op11_bin_slack": packing.op11_bin_slack,
+    "op12_prefix_free": phrases.op12_prefix_free,
     "op13_glr_repair": structure.op13_glr_repair,
 }
 
@@ -28,5 +29,6 @@ ORACLE: dict[str, str] = {
     "op2_license_rules": licences.ORACLE,
     "op4_warc_salvage": warc.ORACLE,
     "op10_substring_dedup": substring.ORACLE,
+    "op12_prefix_free": phrases.ORACLE,
     "op13_glr_repair": structure.ORACLE,
 }
