@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tests.conftest import SF
+from veilspark.operators.names import load_names
 from veilspark.plans.analyze import analyze, anonymize
 from veilspark.plans.jobs import main
 from veilspark.sources import readers, sinks
@@ -29,13 +30,31 @@ def test_dictionary_in_batches(spark, letters_df, tmp_path):
     letters_df.select("doc_id", "text").repartition(2).write.parquet(source)
     names = letters_df.select(F.col("c_name").alias("name"), F.lit("PERSON").alias("entity_type"))
     df = stream.read_stream(spark, source, "doc_id bigint, text string")
-    with pytest.raises(ValueError):
-        stream.analyze_stream(df, gazetteer=names)
+    with pytest.raises(ValueError, match="write_batches"):
+        stream.analyze_stream(df, gazetteer=load_names(names, limit=100))
+    with pytest.raises(ValueError, match="write_batches"):
+        stream.anonymize_stream(df, external=names)
     out = str(tmp_path / "out")
     stream.write_batches(df, lambda b: analyze(b, gazetteer=names), out, str(tmp_path / "ck"), once=True).awaitTermination(120)
     assert spark.read.parquet(out).count() == 150
 
 
+def test_names_on_a_stream(spark, letters_df, tmp_path):
+    source = str(tmp_path / "in")
+    letters_df.select("doc_id", "text").repartition(3).write.parquet(source)
+    names = letters_df.select(F.col("c_name").alias("name"), F.lit("PERSON").alias("entity_type")).unionByName(
+        letters_df.select(F.col("n_name").alias("name"), F.lit("LOCATION").alias("entity_type")))
+    for kind, make_stream, make_batch in (
+            ("a", stream.analyze_stream, analyze), ("b", stream.anonymize_stream, anonymize)):
+        df, out = stream.read_stream(spark, source, "doc_id bigint, text string"), str(tmp_path / kind)
+        stream.write_stream(make_stream(df, gazetteer=names), out, str(tmp_path / f"ck{kind}"), once=True).awaitTermination(120)
+        want = make_batch(spark.read.parquet(source), gazetteer=names)
+        got = spark.read.schema(want.schema).parquet(out)
+        assert got.count() == 150 and got.exceptAll(want).count() == 0
+        large = make_batch(spark.read.parquet(source), gazetteer=load_names(names, limit=100))
+        assert large.count() == 150 and large.exceptAll(want).count() == 0
+
+
 def test_formats(spark, tmp_path):
     df = spark.createDataFrame([(1, "mail a@b.nl"), (2, "niets")], "doc_id bigint, text string")
     for fmt in ("parquet", "orc", "json", "csv"):

@@ -337,6 +337,12 @@ ORACLE["union_spans"] = f"""WITH {LETTERS}, {found_cte('letters', ['EMAIL', 'IP_
   SELECT doc_id, entity_type, start, "end", score FROM ({_PLACE})"""
 ORACLE["dictionary_names"] = f"""WITH {LETTERS} SELECT doc_id, entity_type, start, "end", score FROM ({_PLACE}) UNION ALL
   SELECT doc_id, entity_type, start, "end", score FROM ({_PERSON})"""
+ORACLE["dictionary_large"] = ORACLE["dictionary_names"]
+ORACLE["dictionary_own_types"] = f"""WITH {LETTERS}, {found_cte('letters', ['EMAIL'])}
+  SELECT doc_id, {SPAN} FROM found UNION ALL
+  SELECT doc_id, 'DEVICE', CAST(instr(text, 'MAC AA') - 1 AS INTEGER), CAST(instr(text, 'MAC AA') + 20 AS INTEGER),
+    CAST(0.85 AS DOUBLE), substr(text, instr(text, 'MAC AA'), 21) FROM letters
+  WHERE doc_id % 100 IN (SELECT c_custkey % 50 FROM customer)"""
 _TAIL = "13 + length(c_name) + length(n_name)"
 ORACLE["dictionary_long_names"] = f"""WITH {LETTERS}, p AS (SELECT doc_id, CAST(instr(text, 'schreef') - 1 AS INTEGER) AS start,
     CASE doc_id % 6 WHEN 0 THEN 7 WHEN 1 THEN 8 + length(c_name) WHEN 2 THEN 12 + length(c_name)
@@ -349,6 +355,7 @@ ORACLE["analyze_with_dictionary"] = f"""{_LETTER_DEFAULTS}, spans AS (SELECT doc
     UNION ALL {_PLACE} UNION ALL {_PERSON})
   SELECT doc_id, {SPAN} FROM spans s WHERE NOT (entity_type IN ('PERSON', 'LOCATION') AND EXISTS (
     SELECT 1 FROM found p WHERE p.doc_id = s.doc_id AND s.start < p."end" AND s."end" > p.start))"""
+ORACLE["stream_names"] = ORACLE["analyze_with_dictionary"]
 ORACLE["external_spans"] = f"""WITH {LETTERS}, {found_cte('letters', ['EMAIL'])}
   SELECT doc_id, {SPAN}, 'EmailRecognizer' AS recognizer FROM found UNION ALL
   SELECT doc_id, {SPAN}, 'external' FROM ({_PLACE})"""

@@ -18,11 +18,13 @@ from veilspark.functions.spans import is_valid_bsn, regex_spans, strip_text
 from veilspark.operators import evaluate as E
 from veilspark.operators import ner
 from veilspark.operators import rows as rows_form
+from veilspark.operators.lineage import shared_path
 from veilspark.operators.validate import bad_labels, bad_spans, prepare, rejected_rows
 from veilspark.plans.analyze import analyze, analyze_rows, anonymize, explode_spans
 from veilspark.plans.jobs import evaluate_samples, golden_comparison, pattern_entity_filter
 from veilspark.sources.letters import dossiers, letters
 from veilspark.sources.readers import read_texts, spread
+from veilspark.streaming import stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -387,6 +389,34 @@ def dictionary_names(spark, sf):
         "doc_id", "entity_type", "start", "end", "score")
 
 
+@query
+def dictionary_large(spark, sf):
+    """The same with names taken for too many to broadcast: bitmap of their beginnings, then one join."""
+    names = ner.load_names(gazetteer(spark, sf), limit=0)
+    return ner.dictionary_spans(letter_texts(spark, sf), names, ["doc_id"]).select(
+        "doc_id", "entity_type", "start", "end", "score")
+
+
+@query
+def dictionary_own_types(spark, sf):
+    """A dictionary of another type than the three of name models, asked for by that type."""
+    brands = spark.read.parquet(f"{sf}/customer.parquet").select(
+        F.concat(F.lit("MAC AA:BB:CC:DD:EE:"), F.expr("lpad(cast(c_custkey % 50 as string), 2, '0')")).alias("name"),
+        F.lit("DEVICE").alias("entity_type"))
+    return analyze_rows(letter_texts(spark, sf), ["DEVICE", "EMAIL"], gazetteer=brands).select("doc_id", *SPAN)
+
+
+@query
+def stream_names(spark, sf):
+    """Letters written as files and read as a stream, with names matched in the rows."""
+    source, out, state = (shared_path(spark, f"stream-{k}") for k in ("in", "out", "state"))
+    letter_texts(spark, sf).write.parquet(source)
+    texts = stream.read_stream(spark, source, "doc_id bigint, text string")
+    found = stream.analyze_stream(texts, gazetteer=gazetteer(spark, sf))
+    stream.write_stream(found, out, state, once=True).awaitTermination()
+    return explode_spans(spark.read.schema(found.schema).parquet(out)).select("doc_id", *SPAN)
+
+
 @query
 def dictionary_long_names(spark, sf):
     """Names of one to eight and more words: the phrase after ``schreef``, cut at six places."""

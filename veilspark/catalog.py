@@ -307,7 +307,8 @@ def select(
     """Prune the catalogue to what a job needs, or fail before it starts.
 
     ``detectors`` maps the name of each available detector to the entity types
-    it yields; they widen the set of types that can be asked for.
+    it yields; they widen the set of types that can be asked for.  A type asked for that
+    no active source yields is an error; with ``strict_contract`` one of the default types is too.
     """
     if profile not in PROFILES:
         raise ValueError(f"unknown profile {profile!r}; known: {', '.join(PROFILES)}")
@@ -326,9 +327,9 @@ def select(
     for types in available.values():
         contract.update(types)
     if wanted is not None:
-        explicit = entities is not None and wanted != DEFAULT_ENTITIES and "external" not in available
+        asked = strict_contract or (entities and wanted != DEFAULT_ENTITIES)
         unknown = [e for e in wanted if e not in contract]
-        if explicit and (len(unknown) == len(wanted) or (strict_contract and unknown)):
+        if asked and unknown and "external" not in available:
             raise ValueError(
                 f"no recognizer of profile {profile!r} supports: {', '.join(unknown)}")
         rows = [r for r in rows if r.entity_type in wanted]

@@ -1,8 +1,24 @@
-"""Cutting a plan off from its past, safely when executors are lost."""
+"""Shared folders, and cutting a plan off from its past, safely when executors are lost."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_path(spark: SparkSession, kind: str) -> str:
+    """A new path in the folder the cluster names in ``spark.checkpoint.dir``.
+
+    In local mode a temporary folder does; on a cluster without that setting executors would not see each other's files.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="veil-")
+    return f"{folder.rstrip('/')}/veil-{kind}-{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

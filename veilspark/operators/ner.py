@@ -1,9 +1,9 @@
-"""Names, places and organizations: dictionary join, model plugs, label maps.
+"""Names, places and organizations: model plugs, label maps, spans from elsewhere.
 
 A model is the user's own; the harness runs it in Arrow batches, once loaded
 per Python worker, and only the text column travels to it.  The dictionary
-detector needs no model: word n-grams are joined with a table of names.  It is
-a different method from a model, so its recall is not comparable with one.
+detector (:mod:`veilspark.operators.names`) needs no model.  It is a different
+method from one, so its recall is not comparable.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from veilspark.catalog import NER_LABELS, NER_SCORE, ZERO_SHOT_LABELS, ZERO_SHOT
 from veilspark.functions.spans import (
     NO_SPANS, SPANS_TYPE, let_sql, quote, quote_list, regex_hits_sql, scannable_sql,
 )
+from veilspark.operators.names import Names, dictionary_spans, load_names  # noqa: F401 - also found here
 
 # ---------------------------------------------------------------------------
 # Labels
@@ -116,7 +117,7 @@ def verify(spans: DataFrame, predicate: Column) -> DataFrame:
 
 
 # ---------------------------------------------------------------------------
-# Dictionary
+# Names and external spans
 # ---------------------------------------------------------------------------
 
 WORD = r"(?U)\w+"
@@ -127,48 +128,6 @@ def tokens_sql(text: str) -> str:
     return regex_hits_sql(scannable_sql(text), WORD)
 
 
-def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
-
-
-def dictionary_spans(docs: DataFrame, gazetteer: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
-    """Known names in a text: ``keys, entity_type, start, end, score, recognizer, pattern``.
-
-    A word is looked at further only if some name begins with it, and then only
-    the runs of as many words as those names have are made and joined with the
-    names; names may have any number of words.  The longest name per start
-    wins.  No broadcast is forced: Spark broadcasts the first words and the names
-    if their measured size is under its threshold, and otherwise shuffles.
-    Words are joined by one space, so a name matches across line breaks and
-    dashes; the offsets are those of the text.
-    """
-    names = gazetteer.select(
-        F.array_join(words_of(F.col("name")), " ").alias("_name"), "entity_type"
-    ).filter("_name <> ''").distinct()
-    sized = names.select("_name", F.split("_name", " ").alias("_w"))
-    first = sized.groupBy(F.col("_w")[0].alias("_first")).agg(F.collect_set(F.size("_w")).alias("_lengths"))
-    longest = sized.agg(F.coalesce(F.max(F.size("_w")), F.lit(1)).alias("_n")).scalar()
-    toks = docs.select(*keys, F.col(text_col).alias("_x")).select(
-        *keys, F.expr(tokens_sql("_x")).alias("_t"), longest.alias("_n"))
-    # each word with those that a name beginning there could span
-    ahead = toks.select(*keys, F.explode_outer(F.expr("transform(_t, (t, i) -> slice(_t, i + 1, _n))")).alias("_a"))
-    ahead = ahead.filter(F.col("_a").isNotNull()).withColumn("_first", F.expr("_a[0].text")).join(first, "_first")
-    run = ("named_struct('name', array_join(transform(slice(_a, 1, n), w -> w.text), ' '), "
-           "'start', _a[0].start, 'end', _a[n - 1].end)")
-    runs = f"transform(filter(_lengths, n -> n <= size(_a)), n -> {run})"
-    grams = ahead.select(*keys, F.explode_outer(F.expr(runs)).alias("_g"))
-    grams = grams.filter(F.col("_g").isNotNull()).select(
-        *keys, F.col("_g.name").alias("_name"), F.col("_g.start").alias("start"), F.col("_g.end").alias("end"))
-    found = grams.join(names, "_name").groupBy(*keys, "start", "entity_type").agg(F.max("end").alias("end"))
-    # one row per start: the longest, then the first type by name
-    best = found.groupBy(*keys, "start").agg(
-        F.min(F.struct((-F.col("end")).alias("e"), F.col("entity_type"))).alias("b"))
-    return best.select(
-        *keys, F.col("b.entity_type").alias("entity_type"), "start", (-F.col("b.e")).alias("end"),
-        F.lit(NER_SCORE).alias("score"), F.lit("gazetteer").alias("recognizer"),
-        F.lit("dictionary").alias("pattern"))
-
-
 def _collect(spans: DataFrame, keys: list[str], name: str) -> DataFrame:
     """Span rows as one array per document; repeats are removed before the shuffle."""
     have = set(spans.columns)
@@ -183,13 +142,14 @@ def _collect(spans: DataFrame, keys: list[str], name: str) -> DataFrame:
             .groupBy(*keys).agg(F.collect_list("_row").alias(name)))
 
 
-def join_dictionary(rows: DataFrame, gazetteer: DataFrame, id_col: str, text_col: str,
-                    wanted: Column) -> DataFrame:
-    """Add ``_dictionary``.  Keyed by id and text, so a repeated id does no harm."""
+def join_dictionary(rows: DataFrame, names: Names, id_col: str, text_col: str, wanted: Column) -> DataFrame:
+    """Add ``_veil_dictionary``: in the row if the names are a trie, else by a join on id and text, so a repeated id does no harm."""
+    if names.trie is not None:
+        return rows.withColumn("_veil_dictionary", names.column(F.when(wanted, F.col(text_col))))
     rows = rows.withColumn("_veil_h", F.xxhash64(text_col))
     keys = [id_col, "_veil_h"]
     docs = rows.filter(wanted).select(*keys, text_col)
-    spans = _collect(dictionary_spans(docs, gazetteer, keys, text_col), keys, "_veil_dictionary")
+    spans = _collect(names.spans(docs, keys, text_col), keys, "_veil_dictionary")
     joined = rows.join(spans, keys, "left")
     return joined.withColumn("_veil_dictionary", F.coalesce(
         F.when(wanted, F.col("_veil_dictionary")), F.expr(NO_SPANS)))

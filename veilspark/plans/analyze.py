@@ -1,7 +1,8 @@
 """``analyze`` and ``anonymize``: text table or stream in, spans or new text out.
 
-Without dictionary or external spans both are one map over the rows: no
-shuffle, no Python worker, the same plan on a batch and on a stream.
+Without a large dictionary or external spans both are one map over the rows: no
+shuffle, the same plan on a batch and on a stream, and without detectors no Python
+worker either.
 """
 
 from __future__ import annotations
@@ -44,7 +45,7 @@ def scan(
     catalogue: Iterable[Recognizer] | None = None,
     strict_contract: bool = False,
     detectors: Iterable[str] = (),
-    gazetteer: DataFrame | None = None,
+    gazetteer: DataFrame | ner.Names | None = None,
     external: DataFrame | None = None,
     context: Mapping[str, Iterable[str]] | None = None,
     context_window: int = 5,
@@ -54,7 +55,7 @@ def scan(
     ``entities``: ``None`` or empty = the default types, ``"all"`` = every type.
     ``entities_col``: optional ``array<string>`` column with the same meaning per row.
     ``case``: match patterns as written, or without regard to case.
-    ``gazetteer``: ``name, entity_type`` rows of a dictionary detector.
+    ``gazetteer``: ``name, entity_type`` rows of a dictionary detector, of any types, or what ``ner.load_names`` made of them.
     ``external``: span rows computed elsewhere, keyed by ``id_col``.
     ``context``: words per entity type that raise the score of a span near them.
     """
@@ -62,7 +63,8 @@ def scan(
         raise ValueError(f"unknown case {case!r}; known: {', '.join(_CASES)}")
     named = {d: ner.detector_entities(d) for d in detectors}
     if gazetteer is not None:
-        named["gazetteer"] = tuple(NER_ENTITIES)
+        gazetteer = gazetteer if isinstance(gazetteer, ner.Names) else ner.load_names(gazetteer)
+        named["gazetteer"] = gazetteer.kinds
     if external is not None:
         named["external"] = ()
     # per-row types can only narrow what the job scans for

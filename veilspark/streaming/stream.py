@@ -1,8 +1,8 @@
 """Structured Streaming: the same maps on a stream.
 
 ``analyze`` and ``anonymize`` are stateless, so they run in append mode without
-a watermark.  Dictionary and external spans need a grouping, so they belong in
-``foreachBatch`` (:func:`write_batches`).
+a watermark; so does a dictionary that is matched in the rows.  One too large for that, and
+external spans, need a grouping, so they belong in ``foreachBatch`` (:func:`write_batches`).
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from veilspark.operators.names import Names, load_names
 from veilspark.plans.analyze import analyze, anonymize
 
 
@@ -23,19 +24,24 @@ def read_stream(spark: SparkSession, path: str, schema: StructType | str, fmt: s
 
 
 def analyze_stream(df: DataFrame, *args, **options) -> DataFrame:
-    _refuse_grouping(options)
-    return analyze(df, *args, **options)
+    return analyze(df, *args, **_without_grouping(options))
 
 
 def anonymize_stream(df: DataFrame, *args, **options) -> DataFrame:
-    _refuse_grouping(options)
-    return anonymize(df, *args, **options)
-
-
-def _refuse_grouping(options: dict) -> None:
-    for name in ("gazetteer", "external"):
-        if options.get(name) is not None:
-            raise ValueError(f"{name} spans need a grouping: use write_batches")
+    return anonymize(df, *args, **_without_grouping(options))
+
+
+def _without_grouping(options: dict) -> dict:
+    """The options with the dictionary loaded once; fails where spans would have to be grouped."""
+    if options.get("external") is not None:
+        raise ValueError("external spans need a grouping: use write_batches")
+    given = options.get("gazetteer")
+    if given is None:
+        return options
+    names = given if isinstance(given, Names) else load_names(given)
+    if names.trie is None:
+        raise ValueError("a dictionary of this size needs a grouping: use write_batches")
+    return {**options, "gazetteer": names}
 
 
 def write_stream(df: DataFrame, path: str, checkpoint: str, fmt: str = "parquet",
