@@ -1,11 +1,9 @@
 """Score predicted spans against labelled spans.
 
-Truth and predictions are span rows keyed by sample.  Candidate pairs come from
-an equality join on (sample, position bucket) with the overlap as a residual
-condition; "first match" and "best match" are ``min`` aggregates over an order
-key, which Spark pre-aggregates before the shuffle, so no window gathers a
-sample in one task.  Only span rows are shuffled: the few characters of context
-an error table shows are cut out while the text is at hand.
+Truth and predictions are span rows keyed by sample.  Repeats are summed, with
+partial sums per task, and :mod:`veilspark.operators.sweep` matches what is left by one
+exchange on (sample, window of positions).  Only span rows are shuffled: the few
+characters of context an error table shows are cut out while the text is at hand.
 """
 
 from __future__ import annotations
@@ -16,9 +14,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veilspark.functions.spans import blocks_sql, context_sql, cut_sql, iou
+from veilspark.functions.spans import blocks_sql, context_sql, cut_sql
 from veilspark.operators.lineage import cut_lineage
-from veilspark.operators.rows import with_buckets
+from veilspark.operators.sweep import outcomes
 
 OUTSIDE = "O"
 CONTEXT_CHARS = 20
@@ -49,13 +47,13 @@ def with_scores(counts: DataFrame) -> DataFrame:
 
 def truth_rows(samples: DataFrame, id_col: str = "sample_id", text_col: str = "text",
                spans_col: str = "spans") -> DataFrame:
-    """``sample_id, entity_type, start, end, n, text, context`` from a label array."""
+    """``sample_id, entity_type, start, end, n, text, context`` from a label array; a row per label, ``n`` is 1."""
     return _span_rows(samples, id_col, text_col, spans_col, scored=False)
 
 
 def prediction_rows(analyzed: DataFrame, id_col: str = "sample_id", text_col: str = "text",
                     spans_col: str = "spans") -> DataFrame:
-    """The same from a span array with scores, plus the order key ``rank``."""
+    """The same from a span array, with ``score``."""
     return _span_rows(analyzed, id_col, text_col, spans_col, scored=True)
 
 
@@ -70,25 +68,16 @@ def _span_rows(rows: DataFrame, id_col: str, text_col: str, spans_col: str, scor
         *([F.col("_s.score").alias("score")] if scored else []),
         F.expr(cut_sql("_blocks", "_s.start", "_s.end")).alias("text"),
         F.expr(context_sql("_blocks", "_len", "_s.start", "_s.end", CONTEXT_CHARS)).alias("context"))
-    return unique_spans(out, scored)
+    return out.withColumn("n", F.lit(1).cast("long"))
 
 
 def unique_spans(rows: DataFrame, scored: bool) -> DataFrame:
-    """Equal spans as one row with a count ``n``; predictions of unequal score stay apart until
-    :func:`evaluate` has dropped those under its threshold.
-    """
+    """Equal spans as one row with a count ``n``; predictions of unequal score stay apart, so that a threshold can tell them."""
     identity = ["sample_id", "entity_type", "start", "end", *(["score"] if scored else [])]
     extras = [c for c in ("text", "context") if c in rows.columns]
     return rows.groupBy(*identity).agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in extras])
 
 
-def _scored_once(predictions: DataFrame) -> DataFrame:
-    """Equal predictions of any score as one row: the first in result order can be matched, ``n - 1`` are spurious."""
-    extras = [c for c in ("text", "context") if c in predictions.columns]
-    return predictions.groupBy("sample_id", "entity_type", "start", "end").agg(
-        F.sum("n").alias("n"), *[F.first(c).alias(c) for c in extras], F.max("score").alias("score"))
-
-
 @dataclass
 class Evaluation:
     """Outcome rows and the tables made from them.
@@ -279,56 +268,8 @@ def evaluate(
     """
     if not 0 < iou_threshold <= 1:
         raise ValueError("iou_threshold must be in (0, 1]")
-    # both sides are read twice below; the texts behind them must not be
-    p = cut_lineage(_scored_once(predictions.filter(F.col("score") >= score_threshold)))
-    truth = cut_lineage(truth)
-    key = ["sample_id", "entity_type", "start", "end"]
-    has_text = "text" in truth.columns and "text" in p.columns
-    pt = F.col("text") if has_text else F.lit(None).cast("string")
-    right = with_buckets(p.select(*key, "score", pt.alias("text"))).select(
-        F.col("sample_id").alias("p_sample"), F.col("_bucket").alias("p_bucket"),
-        # result order first, so that min() is "the first"
-        F.struct((-F.col("score")).alias("s"), F.col("start"), (-F.col("end")).alias("e"),
-                 F.col("entity_type")).alias("rank"),
-        F.col("start").alias("p_start"), F.col("end").alias("p_end"), F.col("entity_type").alias("p_type"),
-        F.col("text").alias("p_text"))
-    left = with_buckets(truth.select(*key))
-    quality = iou(F.col("p_start"), F.col("p_end"), F.col("start"), F.col("end"))
-    pairs = left.join(
-        right,
-        (F.col("sample_id") == F.col("p_sample")) & (F.col("_bucket") == F.col("p_bucket"))
-        & (F.col("p_start") < F.col("end")) & (F.col("p_end") > F.col("start")), "left")
-    pairs = pairs.withColumn("_q", quality)
-    enough, same = F.col("_q") >= iou_threshold, F.col("p_type") == F.col("entity_type")
-    pred = F.struct("rank", F.col("p_type").alias("type"), F.col("p_start").alias("start"),
-                    F.col("p_end").alias("end"), F.col("p_text").alias("text"), F.col("_q").alias("iou"))
-    by_quality = F.struct((-F.col("_q")).alias("q"), pred.alias("p"))
-    best = pairs.groupBy(*key).agg(
-        F.min(F.when(enough & same, pred)).alias("hit"),
-        F.min(F.when(enough & ~same, by_quality)).alias("wrong"),
-        F.min(F.when(~enough & same, by_quality)).alias("low"))
-    missed = F.col("hit").isNull()
-    best = best.select(
-        *key, F.when(missed, "fn").otherwise("tp").alias("kind"),
-        F.when(missed, F.col("wrong.p")).otherwise(F.col("hit")).alias("used"),
-        F.when(missed, F.col("wrong.p")).alias("wrong"),
-        F.when(missed & F.col("wrong").isNull(), F.col("low.p")).alias("low"))
-    extras = [c for c in ("text", "context") if c in truth.columns and c in p.columns]
-    truth_out = truth.select(*key, "n", *extras).join(best.select(
-        *key, "kind", F.col("wrong.type").alias("wrong_type"), F.col("wrong.text").alias("wrong_text"),
-        F.col("wrong.iou").alias("wrong_iou"), F.col("low.text").alias("low_text"),
-        F.col("low.iou").alias("low_iou")), key)
-    used = best.filter(F.col("used").isNotNull()).select(
-        "sample_id", F.col("used.type").alias("entity_type"), F.col("used.start").alias("start"),
-        F.col("used.end").alias("end")).distinct().withColumn("_used", F.lit(1))
-    spurious = p.select(*key, "n", *extras).join(used, key, "left").withColumn(
-        "n", F.col("n") - F.coalesce("_used", F.lit(0))).filter("n > 0").drop("_used").withColumn(
-        "kind", F.lit("fp"))
-    outcomes = truth_out.unionByName(spurious, allowMissingColumns=True)
-    for c in ("text", "context"):
-        if c not in outcomes.columns:
-            outcomes = outcomes.withColumn(c, F.lit(None).cast("string"))
-    return Evaluation(outcomes, tuple(entities) if entities else None)
+    found = predictions.filter(F.col("score") >= score_threshold)
+    return Evaluation(outcomes(found, truth, iou_threshold), tuple(entities) if entities else None)
 
 
 # ---------------------------------------------------------------------------
