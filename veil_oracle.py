@@ -373,6 +373,9 @@ ORACLE["model_detector"] = f"""WITH {LETTERS}, {found_cte('letters', ['IBAN'])}
 ORACLE["context_boost"] = f"""WITH {LETTERS}, {found_cte('letters', ['KVK_NUMBER', 'VAT_NUMBER'])}
   SELECT doc_id, entity_type, start, "end", round(CASE entity_type WHEN 'KVK_NUMBER' THEN 0.8 ELSE
     0.6 END, 6)::DOUBLE AS score FROM found"""
+ORACLE["context_boost_some"] = f"""WITH {LETTERS}, {found_cte('letters', ['BSN', 'DATE_TIME', 'EMAIL'])}
+  SELECT f.doc_id, f.entity_type, f.start, f."end", round(CASE WHEN f.entity_type = 'BSN' AND lower(l.n_name) IN ('germany', 'france', 'china')
+    THEN 0.95 ELSE f.score END, 6)::DOUBLE AS score FROM found f JOIN letters l ON l.doc_id = f.doc_id"""
 ORACLE["verified_spans"] = f"""WITH {LETTERS}, {found_cte('letters', ['ID_NO', 'BSN'])}
   SELECT doc_id, {SPAN} FROM found WHERE entity_type <> 'ID_NO' OR regexp_matches(text, '[02468]$')"""
 

@@ -496,6 +496,14 @@ def context_boost(spark, sf):
         "doc_id", "entity_type", "start", "end", F.round("score", 6).alias("score"))
 
 
+@query
+def context_boost_some(spark, sf):
+    """Context words that stand near some spans of a type and not near others: places before a citizen number."""
+    return analyze_rows(letter_texts(spark, sf), ["BSN", "DATE_TIME", "EMAIL"], context={
+        "BSN": ["Germany", "france", "CHINA"], "DATE_TIME": ["nooit"]}, context_window=2).select(
+        "doc_id", "entity_type", "start", "end", F.round("score", 6).alias("score"))
+
+
 @query
 def verified_spans(spark, sf):
     """A second check on candidates only ever removes some."""

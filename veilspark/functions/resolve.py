@@ -15,6 +15,10 @@ from veilspark.functions.spans import (
 )
 
 
+# Overlapping spans of one type that are compared pair by pair.
+FEW = 32
+
+
 def sort_sql(spans: str, *keys: str) -> str:
     """Spans ordered by SQL keys over ``s``."""
     named = ", ".join(f"'k{i}', {k}" for i, k in enumerate(keys))
@@ -51,13 +55,19 @@ def dedup_same_type(spans: str) -> str:
     """Drop a span contained in a same-type span that scores at least as high.
 
     In (type, start, end desc, score desc) order whatever contains a span comes
-    before it, and overlaps it; so a span is compared with those before it in
-    its run of overlapping spans.
+    before it, and overlaps it.  A span of a short run is compared with those before it; in a
+    long one a running maximum per distinct score tells whether one of them covers it.
     """
     ordered = sort_sql(
         spans, "s.entity_type", "s.start", "-s.end", "-s.score", "s.recognizer", "s.pattern")
-    kept = ("filter(island, (s, j) -> NOT exists(slice(island, 1, j), "
-            "o -> o.end >= s.end AND o.score >= s.score))")
+    few = ("filter(island, (s, j) -> NOT exists(slice(island, 1, j), "
+           "o -> o.end >= s.end AND o.score >= s.score))")
+    # the staircase of a longer run: per score, how far the spans before each that score as high reach
+    reach = prefix_max_sql("transform(island, o -> if(o.score >= level, o.end, -1))")
+    many = let_sql("levels", "array_distinct(transform(island, s -> s.score))", let_sql(
+        "stairs", f"transform(levels, level -> {reach})",
+        "filter(island, (s, j) -> coalesce(get(stairs[int(array_position(levels, s.score) - 1)], j), -1) < s.end)"))
+    kept = f"if(size(island) <= {FEW}, {few}, {many})"
     return _if_many(spans, f"flatten({_islands(ordered, f'if(size(island) = 1, island, {kept})')})")
 
 

@@ -122,6 +122,9 @@ def verify(spans: DataFrame, predicate: Column) -> DataFrame:
 
 WORD = r"(?U)\w+"
 
+# Words looked at one by one to find a place among all of a text.
+WORD_BLOCK = 64
+
 
 def tokens_sql(text: str) -> str:
     """Words with offsets."""
@@ -173,21 +176,35 @@ def boost_sql(spans: str, text: str, words: Mapping[str, Iterable[str]], window:
     Words are compared in lower case, without lemmas.  A raised score is at
     least ``minimum`` and at most 1.
     """
-    is_word = lambda wanted: f"w -> lower(w.text) IN ({wanted})"
+    window = int(window)
 
     def near(wanted: str) -> str:
-        before = f"slice(reverse(filter(toks, w -> w.end <= s.start)), 1, {int(window)})"
-        after = f"slice(filter(toks, w -> w.start >= s.end), 1, {int(window)})"
-        return f"exists({before}, {is_word(wanted)}) OR exists({after}, {is_word(wanted)})"
+        # words of the text before and after the span, by their places in ``lows``
+        return (f"exists(slice(lows, greatest(b - {window}, 0) + 1, least(b, {window})), w -> w IN ({wanted})) "
+                f"OR exists(slice(lows, a + 1, {window}), w -> w IN ({wanted}))")
 
-    cases = " ".join(
-        f"WHEN s.entity_type = {quote(kind)} THEN {near(quote_list(w.lower() for w in ws))}"
-        for kind, ws in words.items() if list(ws))
+    kinds = {kind: [w.lower() for w in ws] for kind, ws in words.items() if list(ws)}
+    cases = " ".join(f"WHEN s.entity_type = {quote(kind)} THEN {near(quote_list(ws))}" for kind, ws in kinds.items())
     if not cases:
         return spans
     score = (f"if(CASE {cases} ELSE false END, "
              f"least(1.0D, greatest(s.score + {factor!r}D, {minimum!r}D)), s.score)")
     raised = ("named_struct('entity_type', s.entity_type, 'text', s.text, 'start', s.start, 'end', s.end, "
               f"'score', {score}, 'recognizer', s.recognizer, 'pattern', s.pattern)")
-    boosted = let_sql("toks", tokens_sql(text), f"transform({spans}, s -> {raised})")
-    return f"if(size({spans}) = 0, {spans}, {boosted})"
+    # how many words end before a span, how many start before its end: by blocks of words, then within one
+    before = _count_sql("tails", "w.end <= s.start", "x <= s.start")
+    until = _count_sql("heads", "w.start < s.end", "x < s.end")
+    each = f"transform({spans}, s -> {let_sql('b', before, let_sql('a', until, raised))})"
+    block = f"sequence(0, (size(toks) - 1) DIV {WORD_BLOCK})"
+    places = let_sql("heads", f"transform({block}, k -> toks[int(k * {WORD_BLOCK})].start)", let_sql(
+        "tails", f"transform({block}, k -> toks[int(k * {WORD_BLOCK})].end)", let_sql(
+            "lows", "transform(toks, w -> lower(w.text))", each)))
+    boosted = let_sql("toks", tokens_sql(text), f"if(size(toks) = 0, {spans}, {places})")
+    asked = f"exists({spans}, s -> s.entity_type IN ({quote_list(kinds)}))"
+    return f"if({asked}, {boosted}, {spans})"
+
+
+def _count_sql(firsts: str, word: str, first: str) -> str:
+    """How many of the words, in their order, satisfy a condition that no later one does after one that doesn't."""
+    blocks = f"greatest(size(filter({firsts}, x -> {first})) - 1, 0)"
+    return let_sql("k", blocks, f"k * {WORD_BLOCK} + size(filter(slice(toks, int(k * {WORD_BLOCK} + 1), {WORD_BLOCK}), w -> {word}))")

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilspark.catalog import NER_ENTITIES
+from veilspark.functions import resolve
 from veilspark.operators.lineage import cut_lineage
 
 # Characters per position bucket.  Identifiers are tens of characters long, so
@@ -137,26 +138,81 @@ def _next_start(rows: DataFrame, part: list[str], out: str) -> DataFrame:
             .drop("_chunk", "_carry"))
 
 
+# Chunks that may hang together in one group; wider ones are scanned chunk by chunk.
+GROUP_CHUNKS = 4
+
+
+def _grouped(spans: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame | None]:
+    """(rows with ``_group``, rows of groups that are too wide or None) of distinct spans, after one cut.
+
+    A position that no span crosses separates what is before it from what is after it, for every operator here.  Texts
+    are cut at every CHUNK characters; chunks with a span across the cut between them belong to one group.  Such spans
+    are few, and without any of them the groups are the chunks.
+    """
+    unique = cut_lineage(spans.groupBy(*keys, "entity_type", "start").agg(
+        F.max("end").alias("end"), F.max("score").alias("score")).withColumn("_chunk", F.floor(F.col("start") / CHUNK)))
+    last = F.floor((F.greatest("end", F.col("start") + 1) - 1) / CHUNK)
+    crossed = unique.filter(last > F.col("_chunk")).select(
+        *keys, F.explode(F.sequence(F.col("_chunk") + 1, last)).alias("_chunk")).distinct()
+    # chunks in a row with crossed beginnings hang together: the first of them, and the one before it
+    order = Window.partitionBy(*keys).orderBy("_chunk")
+    runs = crossed.withColumn("_run", F.col("_chunk") - F.row_number().over(order))
+    runs = runs.withColumn("_group", F.min("_chunk").over(Window.partitionBy(*keys, "_run")) - 1).withColumn(
+        "_width", F.max("_chunk").over(Window.partitionBy(*keys, "_run")) - F.col("_group") + 1)
+    tied = cut_lineage(runs.select(*keys, "_chunk", "_group", "_width"))
+    if tied.isEmpty():
+        return unique.withColumn("_group", F.col("_chunk")), None
+    heads = tied.select(*keys, F.col("_group").alias("_chunk"), "_group", "_width").distinct()
+    rows = unique.join(tied.unionByName(heads), [*keys, "_chunk"], "left")
+    narrow = F.coalesce("_width", F.lit(1)) <= GROUP_CHUNKS
+    wide = rows.filter(~narrow).select(*unique.columns)
+    return (rows.filter(narrow).withColumn("_group", F.coalesce("_group", "_chunk")),
+            None if wide.isEmpty() else wide.drop("_chunk"))
+
+
+def _by_group(rows: DataFrame, keys: list[str], sql: str) -> DataFrame:
+    """An array operator of :mod:`veilspark.functions.resolve` on the ``_spans`` of each group."""
+    none = F.lit(None).cast("string")
+    gathered = rows.groupBy(*keys, "_group").agg(F.collect_list(F.struct(
+        "entity_type", none.alias("text"), F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"),
+        F.col("score").cast("double").alias("score"), none.alias("recognizer"), none.alias("pattern"))).alias("_spans"))
+    done = gathered.select(*keys, F.explode(F.expr(sql)).alias("_s"))
+    return done.select(*keys, "_s.entity_type", "_s.start", "_s.end", "_s.score")
+
+
 def merge_same_type(spans: DataFrame, keys: Iterable[str] = ("doc_id",)) -> DataFrame:
     """Overlapping spans of one type become one: gaps and islands.
 
     Columns: keys, ``entity_type, start, end, score``.
     """
+    keys = list(keys)
+    rows, wide = _grouped(spans, keys)
+    merged = _by_group(rows, keys, resolve.merge_same_type("_spans"))
+    return merged if wide is None else merged.unionByName(_merge_by_scan(wide, keys))
+
+
+def resolve_conflicts(spans: DataFrame, keys: Iterable[str] = ("doc_id",)) -> DataFrame:
+    """Disjoint spans per document: merge per type, drop inner ones, cut partial overlaps."""
+    keys = list(keys)
+    rows, wide = _grouped(spans, keys)
+    resolved = _by_group(rows, keys, resolve.resolve_conflicts("_spans"))
+    return resolved if wide is None else resolved.unionByName(_resolve_by_scan(wide, keys))
+
+
+def _merge_by_scan(unique: DataFrame, keys: list[str]) -> DataFrame:
+    """Islands by running maxima, for groups of any width."""
     part = [*keys, "entity_type"]
-    unique = spans.groupBy(*part, "start").agg(F.max("end").alias("end"), F.max("score").alias("score"))
     reached = _running_max(unique, part, "end", "_reach", inclusive=False)
     opened = reached.withColumn("_open", F.when(
         F.col("start") >= F.coalesce("_reach", F.lit(-1)), F.col("start")))
     islands = _running_max(opened, part, "_open", "_island", inclusive=True)
     return islands.groupBy(*part, "_island").agg(
         F.min("start").alias("start"), F.max("end").alias("end"), F.max("score").alias("score")
-    ).drop("_island")
+    ).select(*part, "start", "end", "score")
 
 
-def resolve_conflicts(spans: DataFrame, keys: Iterable[str] = ("doc_id",)) -> DataFrame:
-    """Disjoint spans per document: merge per type, drop inner ones, cut partial overlaps."""
-    keys = list(keys)
-    merged = merge_same_type(spans, keys)
+def _resolve_by_scan(unique: DataFrame, keys: list[str]) -> DataFrame:
+    merged = _merge_by_scan(unique, keys)
     # of spans with one start the longest stays, then the best score, then the type name
     longest = merged.groupBy(*keys, "start").agg(F.min(F.struct(
         (-F.col("end")).alias("e"), (-F.col("score")).alias("s"), "entity_type")).alias("_b")).select(
@@ -165,4 +221,5 @@ def resolve_conflicts(spans: DataFrame, keys: Iterable[str] = ("doc_id",)) -> Da
     reached = _running_max(longest, keys, "end", "_reach", inclusive=False)
     outer = reached.filter(F.col("end") > F.coalesce("_reach", F.lit(-1))).drop("_reach")
     following = _next_start(outer, keys, "_next")
-    return following.withColumn("end", F.least("end", F.coalesce("_next", "end"))).drop("_next")
+    return following.withColumn("end", F.least("end", F.coalesce("_next", "end"))).select(
+        *keys, "entity_type", "start", "end", "score")
