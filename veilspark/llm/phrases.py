@@ -19,10 +19,12 @@ rows that repeat count each time; an empty table gives an empty result. Other co
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -35,14 +37,15 @@ MOST_WORDS = 3
 LEAST = 10
 SHARE = 50
 TOP = 2000
+PARTS = 16
 PERIOD = 16
 # longest chunk where no trigger comes
 LONGEST = 4096
 # entries of a task's dictionary, and of its sums, between flushes
 HELD = 200_000
 SUMS = 4_000_000
-# bytes of chunks laid out at once
-LAID = 4 << 20
+# tokens of chunks laid out at once
+LAID = 3_000_000
 BITS = 1 << 28
 BLOCK = 1 << 15
 MARK = b"."
@@ -135,14 +138,11 @@ class Words(dict):
 class Laid:
     """Chunks of one language end to end: the tokens' numbers, their chunks' frequencies, and where n-grams may begin."""
 
-    def __init__(self, known: Words, rows: list[tuple[bytes, int]], overlap: int):
-        if len(known) > 4 * HELD:
-            known.clear()
-        split = [chunk.split(b" ") for chunk, _ in rows]
-        sizes = np.fromiter(map(len, split), np.int64, len(split))
+    def __init__(self, known: Words, gathered: Gathered, overlap: int):
         self.known = known
-        self.numbers = np.fromiter((known[w] for words in split for w in words), np.int64, int(sizes.sum()))
-        self.weights = np.repeat(np.fromiter((n for _, n in rows), np.int64, len(rows)), sizes)
+        sizes = np.array(gathered.sizes)
+        self.numbers = np.array(gathered.numbers)
+        self.weights = np.repeat(np.array(gathered.weights), sizes)
         self.begins = self.numbers > 0
         for j in range(1, overlap + 1):
             self.begins[np.cumsum(sizes) - j] = False
@@ -189,23 +189,37 @@ def summed(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[first], np.add.reduceat(weights, first)
 
 
+class Gathered:
+    """Chunks of one language as they come: all tokens' numbers, each chunk's size and frequency."""
+
+    def __init__(self):
+        self.numbers, self.sizes, self.weights = array("q"), array("q"), array("q")
+
+
 def by_lang(batches: Iterator[pa.RecordBatch], overlap: int) -> Iterator[tuple[str, Laid]]:
-    """Chunks of a few megabytes, language by language."""
+    """Chunks of a few million tokens, language by language."""
     known: dict[str, Words] = {}
-    rows: dict[str, list] = {}
+    rows: dict[str, Gathered] = {}
     held = 0
 
     def laid():
-        for lang, chunks in rows.items():
-            if lang not in known:
-                known[lang] = Words(lang)
-            yield lang, Laid(known[lang], chunks, overlap)
+        for lang, gathered in rows.items():
+            yield lang, Laid(known[lang], gathered, overlap)
+            if len(known[lang]) > 4 * HELD:
+                known[lang].clear()
         rows.clear()
 
     for batch in batches:
         for lang, chunk, n in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            rows.setdefault(lang, []).append((chunk, n))
-            held += len(chunk)
+            if lang not in rows:
+                rows[lang] = Gathered()
+                if lang not in known:
+                    known[lang] = Words(lang)
+            gathered, words = rows[lang], chunk.split(b" ")
+            gathered.numbers.extend(map(known[lang].__getitem__, words))
+            gathered.sizes.append(len(words))
+            gathered.weights.append(n)
+            held += len(words)
         if held > LAID:
             yield from laid()
             held = 0
@@ -258,7 +272,13 @@ def marked(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
-COUNTS = "lang string, gram binary, starts array<int>, n long"
+COUNTS = "lang string, gram binary, n long"
+
+
+def _starts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Where the words of n-grams start; nothing for the empty one."""
+    for grams in batches:
+        yield pd.Series([[0, *(i + 1 for i, b in enumerate(g) if b == 32)] if g else [] for g in grams], dtype=object)
 
 
 def _counted(most_words: int, shared):
@@ -266,7 +286,7 @@ def _counted(most_words: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
         for lang, laid in by_lang(batches, most_words - 1):
-            grams, starts, sums = [b""], [[]], [int(laid.weights[laid.begins].sum())]
+            grams, sums = [b""], [int(laid.weights[laid.begins].sum())]
             words, often = laid.known.words, np.ones(len(laid.numbers), bool)
             for size in range(1, most_words + 1):
                 here = laid.unmarked(size)
@@ -276,19 +296,12 @@ def _counted(most_words: int, shared):
                 else:
                     here[:-1] &= often[:-1] & often[1:]
                 places, n = laid.counted(np.flatnonzero(here & laid.begins), size)
-                for place in places.tolist():
-                    parts = [words[i] for i in laid.numbers[place:place + size].tolist()]
-                    at, begun = 0, []
-                    for part in parts:
-                        begun.append(at)
-                        at += len(part) + 1
-                    grams.append(b" ".join(parts))
-                    starts.append(begun)
+                parts = [map(words.__getitem__, laid.numbers[places + j].tolist()) for j in range(size)]
+                grams += map(b" ".join, zip(*parts))
                 sums += n.tolist()
                 often = here
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(grams), pa.string()), pa.array(grams, pa.binary()),
-                 pa.array(starts, pa.list_(pa.int32())), pa.array(sums, pa.int64())], ["lang", "gram", "starts", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams, pa.binary()),
+                                              pa.array(sums, pa.int64())], ["lang", "gram", "n"])
 
     return run
 
@@ -299,9 +312,9 @@ def counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", most
     chunks = dictionary(docs, text_col, lang_col, most_words, period, longest)
     bits = bitmap(chunks.mapInArrow(_hashed(most_words), "hash long, n long"), least, most_bits)
     shared = docs.sparkSession.sparkContext.broadcast(bits)
-    sums = chunks.mapInArrow(_counted(most_words, shared), COUNTS).groupBy("lang", "gram").agg(
-        F.max("starts").alias("starts"), F.sum("n").alias("n"))
-    out = cut(sums.where((F.col("n") >= least) | (F.size("starts") == 0)), "counts")
+    sums = chunks.mapInArrow(_counted(most_words, shared), COUNTS).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    often = sums.where((F.col("n") >= least) | (F.length("gram") == 0))
+    out = cut(often.select("lang", "gram", F.pandas_udf(_starts, "array<int>")("gram").alias("starts"), "n"), "counts")
     shared.unpersist()
     discard(chunks)
     return out
@@ -341,8 +354,11 @@ def collocations(counted: DataFrame, share: int = SHARE) -> DataFrame:
 def top(docs: DataFrame, first: int = TOP, share: int = SHARE, **settings) -> DataFrame:
     """(lang, rank, phrase, words, a, l, r, n, score): each language's first collocations."""
     counted = counts(docs, **settings)
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "gram")
-    found = collocations(counted, share).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= first)
+    order = [F.desc("score"), F.desc("a"), F.asc("gram")]
+    # first within parts of a language, so that no task gets more than its parts' first rows, however many tasks there are
+    found = collocations(counted, share).withColumn("part", F.pmod(F.xxhash64("gram"), F.lit(PARTS)))
+    for by in (("lang", "part"), ("lang",)):
+        found = found.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= first)
     totals = counted.where("size(starts) = 0").select(F.col("lang").alias("of"), "n")
     return found.join(totals, F.col("lang") == F.col("of")).select(
         "lang", F.col("rank").cast("long").alias("rank"), F.col("gram").cast("string").alias("phrase"), "words", "a", "l", "r", "n",
