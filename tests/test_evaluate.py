@@ -158,7 +158,9 @@ def test_golden(golden):
     assert {r.missing for r in compared.missing.collect()} == {"tel:PHONE_NUMBER@11", "zaak:CASE_NO@11"}
     assert ("tel", "PHONE_NUMBER", 11, 23) in [tuple(r) for r in compared.extra_shown().collect()]
     data = json.loads(compared.to_json(golden).first().report)
-    assert data["total_examples"] == 4 and data["per_entity"]["EMAIL"]["correct"] == 1
+    assert data["total_examples"] == 4 and data["per_entity"]["EMAIL"]["correct"] == 1 and data["missing"] == 2
+    floors = {r.entity_type: r.passed for r in compared.floors({"EMAIL": 1.0, "PHONE_NUMBER": 1.0, "IBAN": 1.0}).collect()}
+    assert floors == {"EMAIL": True, "PHONE_NUMBER": False}
     trimmed = golden_comparison(golden, trim_spans=True)
     assert {r.entity_type: r.recall for r in trimmed.report.collect()}["PHONE_NUMBER"] == 1.0
 
@@ -213,6 +215,24 @@ def test_job_exit_codes(spark, files, tmp_path):
     assert run() == 2
 
 
+def test_golden_job_gates_exact_counts(spark, tmp_path):
+    good, bad, broken = (tmp_path / n for n in ("good.jsonl", "bad.jsonl", "broken.jsonl"))
+    bad.write_text("\n".join(json.dumps(g) for g in GOLDEN), encoding="utf-8")
+    good.write_text("\n".join(json.dumps(g) for g in GOLDEN if g["id"] not in ("tel", "zaak")), encoding="utf-8")
+    broken.write_text(json.dumps(GOLDEN[0]) + "\n{not json\n")
+    run = lambda path, *a: main(["golden", "--data", str(path), *a])
+    assert run(good, "--output", str(tmp_path / "out")) == 0
+    assert run(bad) == 1 and run(bad, "--no-gate") == 0
+    assert run(broken) == 2 and run(tmp_path / "absent") == 2
+    types = {r.entity_type for r in spark.read.json(str(tmp_path / "out" / "types")).collect()}
+    assert "EMAIL" in types and json.loads(spark.read.text(str(tmp_path / "out" / "report")).first().value)["missing"] == 0
+    config = tmp_path / "c.yaml"
+    config.write_text("recognizers: [{name: MACAddressRecognizer, type: pattern}]")
+    assert run(good, "--config", str(config)) == 1
+    config.write_text("recognizers: [{name: x, type: magic}]")
+    assert run(good, "--config", str(config)) == 2
+
+
 def test_gates(spark, files):
     result = evaluate_samples(readers.read_samples(spark, str(files[0])))
     gated = {r.entity_type: r.passed for r in result.gate(E.recall_floor(spark, {"PERSON": 0.5, "EMAIL": 1.0})).collect()}

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from veilspark import catalog
 from veilspark.operators import ner
-from veilspark.plans.analyze import analyze_rows, anonymize
+from veilspark.plans.analyze import analyze, analyze_rows, anonymize, explode_spans
 
 NAMES = [("Pieter van den Berg", "PERSON"), ("Pieter", "PERSON"), ("Rotterdam", "LOCATION"), ("ING Bank", "ORGANIZATION"),
          ("support", "ORGANIZATION"), ("van", "LOCATION")]
@@ -103,3 +103,41 @@ def test_verify(docs):
         return values.str.endswith("1")
 
     assert [r.text for r in ner.verify(spans, model("text")).collect()] == ["10.0.0.1"]
+
+
+def test_models_share_one_stage(docs):
+    def reads_ahead():
+        def model(frames):
+            held = list(frames)
+            for pdf in held:
+                found = [(i, "GPE", t.index("Utrecht"), t.index("Utrecht") + 7) for i, t in zip(pdf.doc_id, pdf.text) if "Utrecht" in t]
+                pdf["text"] = "spoiled"
+                yield pd.DataFrame(found, columns=["doc_id", "entity_type", "start", "end"])
+        return model
+
+    ner.register_detector("spacy", fake_model(), ["PERSON"])
+    ner.register_detector("places", reads_ahead(), ["LOCATION"])
+    df = docs("Jan woont in Utrecht.", None, "Niets.", "Utrecht", "Jan").repartition(2)
+    frame = analyze_rows(df, ["PERSON", "LOCATION"], detectors=["spacy", "places"])
+    assert {(r.doc_id, r.text) for r in frame.collect()} == {(0, "Jan"), (0, "Utrecht"), (3, "Utrecht"), (4, "Jan")}
+    unrun = analyze_rows(docs("Jan"), ["PERSON", "LOCATION"], detectors=["spacy", "places"])
+    assert unrun._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
+def test_verifier_sees_candidates_only(spark, docs):
+    def model(frames):
+        for pdf in frames:
+            assert len(pdf) and set(pdf.entity_type) == {"IP_ADDRESS"} and not pdf.before.str.contains("geheim").any()
+            yield (pdf.after.str.len() > 0) & pdf.before.str.endswith("van ")
+
+    texts = ["geheim " * 20 + "van 10.0.0.1 naar 10.0.0.2 a@b.nl", "mail a@b.nl", "van 10.0.0.3", "van 10.0.0.4 x", "niets"]
+    found = analyze(docs(*texts).repartition(3), ["IP_ADDRESS", "EMAIL"], keep=["text"])
+    kept = explode_spans(ner.verify_with(found, model, ["IP_ADDRESS"], window=10))
+    assert {(r.doc_id, r.text) for r in kept.collect()} == {(0, "10.0.0.1"), (0, "a@b.nl"), (1, "a@b.nl"), (3, "10.0.0.4")}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1)
+    try:
+        assert ner.verify_with(found.coalesce(1), model, ["IP_ADDRESS"], window=10).select("doc_id").count() == 5
+        again = explode_spans(ner.verify_with(found.coalesce(1), model, ["IP_ADDRESS"], window=10))
+        assert again.count() == 4
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

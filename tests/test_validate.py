@@ -2,8 +2,10 @@ import pytest
 from pyspark.errors import PySparkException
 
 from veilspark import catalog
-from veilspark.operators.validate import bad_spans, rejected_rows
+from veilspark.operators.validate import bad_spans, prepare, rejected_rows
 from veilspark.plans.analyze import analyze, analyze_rows, anonymize
+from veilspark.plans.config import options_of, profile_config
+from veilspark.sources import readers, sinks
 
 
 def test_blank_text_is_rejected(spark):
@@ -107,3 +109,38 @@ def test_min_score(found):
 def test_catalogue_table(spark):
     table = catalog.catalogue_table(spark)
     assert table.count() == 32 and table.filter("validator = 'bsn'").count() == 1
+
+
+def test_checked_write_in_one_pass(spark, tmp_path):
+    rows = [(0, " a ", "nl", None), (1, "  ", "nl", None), (2, None, "nl", None), (3, "b", "fr", None), (4, "c", None, "shred"), (5, "d", "en", "hash")]
+    df = spark.createDataFrame(rows, "doc_id int, text string, l string, s string")
+    seen = sinks.write_checked(df, str(tmp_path / "out"), language_col="l", strategy_col="s")
+    assert seen == {"valid": 2, "text cannot be empty": 2, "unsupported language": 1, "unsupported strategy": 1}
+    back = {r.doc_id: (r.outcome, r.text, r.language) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert back[0] == ("valid", "a", "nl") and back[5] == ("valid", "d", "en") and back[3] == ("rejected", "b", "fr")
+    valid = spark.read.parquet(str(tmp_path / "out" / "outcome=valid")).select("doc_id", "text", "language")
+    assert valid.exceptAll(prepare(df, language_col="l", strategy_col="s").select("doc_id", "text", "language")).count() == 0
+    assert sinks.write_checked(df.limit(0), str(tmp_path / "none"))["valid"] == 0
+
+
+def test_config_file(spark, docs, tmp_path):
+    (tmp_path / "c.yaml").write_text("""
+language: nl
+ner: {enabled: true}
+recognizers:
+  - {name: EmailRecognizer, type: pattern}
+  - {name: DutchIBANRecognizer, type: pattern, enabled: false}
+  - {name: mine, type: llm, enabled: true}
+context_aware_enhancer: {enabled: true, words: {EMAIL: [mail]}}
+""")
+    config = readers.read_config(spark, str(tmp_path / "c.yaml"))
+    options = options_of(config, without_models=True)
+    assert {r.entity_type for r in options["catalogue"]} == {"EMAIL"} and options["detectors"] == []
+    rows = analyze_rows(docs("mail a@b.nl NL91ABNA0417164300"), "all", **options).collect()
+    assert [(r.entity_type, round(r.score, 2)) for r in rows] == [("EMAIL", 0.95)]
+    with pytest.raises(ValueError, match="mine|spacy"):
+        options_of(config)
+    for bad in ({"recognizers": [{"name": "x", "type": "magic"}]}, {"language": "fr"}, {"recognizers": [{"name": "Nope", "type": "pattern"}]}):
+        with pytest.raises(ValueError):
+            options_of(bad)
+    assert options_of(profile_config({"EmailRecognizer": True, "IPv4Recognizer": False}))["catalogue"][0].entity_type == "EMAIL"

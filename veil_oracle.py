@@ -214,6 +214,11 @@ ORACLE["valid_rows"] = f"""{_PADDED} SELECT doc_id, CAST(length(text) AS INTEGER
 ORACLE["rejected"] = f"""{_PADDED} SELECT doc_id, CASE WHEN doc_id % 10 <= 2 THEN 'text cannot be empty'
     WHEN language = 'fr' THEN 'unsupported language' ELSE 'unsupported strategy' END AS reason FROM padded
   WHERE doc_id % 10 <= 2 OR coalesce(language, 'nl') = 'fr' OR coalesce(strategy, 'replace') = 'shred'"""
+ORACLE["checked_write"] = f"""{_PADDED}, r AS (SELECT CASE WHEN doc_id % 10 <= 2 THEN 'text cannot be empty'
+    WHEN coalesce(language, 'nl') = 'fr' THEN 'unsupported language'
+    WHEN coalesce(strategy, 'replace') = 'shred' THEN 'unsupported strategy' ELSE 'valid' END AS reason, text FROM padded)
+  SELECT CASE reason WHEN 'valid' THEN 'valid' ELSE 'rejected' END AS outcome, reason, count(*) AS n, count(*) AS seen,
+    CAST(sum(CASE reason WHEN 'valid' THEN length(text) ELSE 0 END) AS BIGINT) AS chars FROM r GROUP BY ALL"""
 ORACLE["stripped_texts"] = (
     "SELECT doc_id, CAST(length(trim(text, E' \\t\\n\\r\\f')) AS INTEGER) AS text_length FROM documents")
 ORACLE["default_entities"] = f"{_LETTER_DEFAULTS} SELECT entity_type, count(*) AS n FROM found GROUP BY ALL"
@@ -370,6 +375,18 @@ ORACLE["zero_shot_label_map"] = """SELECT label, CASE label WHEN 'persoon' THEN
 ORACLE["model_detector"] = f"""WITH {LETTERS}, {found_cte('letters', ['IBAN'])}
   SELECT doc_id, {SPAN}, 'DutchIBANRecognizer' AS recognizer FROM found UNION ALL
   SELECT doc_id, {SPAN}, 'spacy' FROM ({_PERSON})"""
+_ZERO_SHOT = (
+    ("PERSON", "persoon naam"), ("LOCATION", "locatie woonplaats gpe gemeente stad wijk buurt"),
+    ("STREET_ADDRESS", "straatnaam adres"), ("NORP", "nationaliteit religie politieke_groep"), ("POLITICAL_PARTY", "politieke_partij"),
+    ("ORGANIZATION", "organisatie werkgever bedrijf"), ("INCOME", "inkomen salaris"), ("EDUCATION_LEVEL", "opleidingsniveau opleiding"))
+_ZERO_LABELS = ", ".join(f"'{label}'" for _, labels in _ZERO_SHOT for label in labels.split())
+ORACLE["zero_shot_labels"] = f"""SELECT label, CASE {' '.join(
+    f"WHEN label IN ({', '.join(chr(39) + x + chr(39) for x in labels.split())}) THEN '{kind}'" for kind, labels in _ZERO_SHOT)}
+    ELSE label END AS entity_type, count(*) AS n
+  FROM (SELECT [{_ZERO_LABELS}, 'x'][o_orderkey % 23 + 1] AS label FROM orders) GROUP BY ALL"""
+ORACLE["two_detectors"] = f"""WITH {LETTERS}, {found_cte('letters', ['IBAN'])}
+  SELECT doc_id, {SPAN}, 'DutchIBANRecognizer' AS recognizer FROM found UNION ALL
+  SELECT doc_id, {SPAN}, 'spacy' FROM ({_PERSON}) UNION ALL SELECT doc_id, {SPAN}, 'places' FROM ({_PLACE})"""
 ORACLE["context_boost"] = f"""WITH {LETTERS}, {found_cte('letters', ['KVK_NUMBER', 'VAT_NUMBER'])}
   SELECT doc_id, entity_type, start, "end", round(CASE entity_type WHEN 'KVK_NUMBER' THEN 0.8 ELSE
     0.6 END, 6)::DOUBLE AS score FROM found"""
@@ -379,6 +396,17 @@ ORACLE["context_boost_some"] = f"""WITH {LETTERS}, {found_cte('letters', ['BSN',
 ORACLE["verified_spans"] = f"""WITH {LETTERS}, {found_cte('letters', ['ID_NO', 'BSN'])}
   SELECT doc_id, {SPAN} FROM found WHERE entity_type <> 'ID_NO' OR regexp_matches(text, '[02468]$')"""
 
+ORACLE["verified_by_model"] = ORACLE["verified_spans"]
+ORACLE["config_profile"] = f"""WITH {LETTERS}, {found_cte('letters', ['EMAIL', 'MAC_ADDRESS'])}
+  SELECT doc_id, {SPAN} FROM found UNION ALL
+  SELECT doc_id, 'PASS_NOTE', CAST(instr(text, 'paspoort') - 1 AS INTEGER), CAST(instr(text, 'paspoort') + 17 AS INTEGER),
+    CAST(0.7 AS DOUBLE), substr(text, instr(text, 'paspoort'), 18) FROM letters"""
+ORACLE["sql_spans_table"] = f"""WITH {LETTERS}, {found_cte('letters', ['EMAIL', 'IBAN'])}
+  SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY {_ORDER}) - 1 AS INTEGER) AS position,
+    entity_type, start, "end", text FROM found"""
+ORACLE["sql_anonymize"] = ORACLE["anonymize_replace"]
+ORACLE["adjacent_merge"] = "SELECT c_custkey AS doc_id, c_name || ': <EMAIL> en <EMAIL>' AS anonymized_text FROM customer"
+
 # --- evaluation ----------------------------------------------------------------------
 
 _LABELS = (
@@ -550,3 +578,11 @@ ORACLE["golden_default_types"] = (
 ORACLE["golden_profiles"] = f"""WITH {LETTERS}, {_golden(CLASSIC)}
   SELECT entity_type, recall AS classic, CAST(CASE WHEN expected > 0 OR entity_type = 'MAC_ADDRESS' THEN 0.0 END AS DOUBLE) AS gpu
   FROM (SELECT *, {_GOLDEN_SCORES} FROM report)"""
+ORACLE["gate_from_files"] = ORACLE["threshold_gate"]
+ORACLE["golden_from_files"] = f"""WITH {LETTERS}, {_golden(CLASSIC)}
+  SELECT entity_type, expected, detected, correct, expected - correct AS missing FROM report"""
+ORACLE["golden_floors"] = f"""WITH {LETTERS}, {_golden(CLASSIC)}
+  SELECT entity_type, correct AS tp, detected - correct AS fp, expected - correct AS fn, recall, CAST(1 AS DOUBLE) AS min_recall,
+    recall >= 1 AS passed FROM (SELECT *, {_GOLDEN_SCORES} FROM report)
+  WHERE expected > 0 AND entity_type IN ('EMAIL', 'PHONE_NUMBER', 'IBAN', 'DATE_TIME', 'BSN', 'LICENSE_PLATE', 'KVK_NUMBER',
+    'CASE_NO', 'IP_ADDRESS')"""

@@ -21,9 +21,13 @@ from veilspark.operators import rows as rows_form
 from veilspark.operators.lineage import shared_path
 from veilspark.operators.validate import bad_labels, bad_spans, prepare, rejected_rows
 from veilspark.plans.analyze import analyze, analyze_rows, anonymize, explode_spans
+from veilspark.plans import sql
+from veilspark.plans.config import options_of
 from veilspark.plans.jobs import evaluate_samples, golden_comparison, pattern_entity_filter
+from veilspark.plans.jobs import golden_floors as golden_minimums
 from veilspark.sources.letters import dossiers, letters
-from veilspark.sources.readers import read_texts, spread
+from veilspark.sources.readers import read_config, read_golden, read_samples, read_texts, read_thresholds, spread
+from veilspark.sources.sinks import write_checked, write_golden
 from veilspark.streaming import stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -216,6 +220,54 @@ def catalogue_coverage(spark, sf):
     return rows.join(hits, "pattern", "left").na.fill(0, ["n"]).select("entity_type", "pattern", "score", "n")
 
 
+@query
+def checked_write(spark, sf):
+    """Valid and rejected rows written in one pass, read back; the counts seen on the way beside those of the files."""
+    path = shared_path(spark, "checked")
+    seen = write_checked(_with_padding(spark, sf), path, language_col="language", strategy_col="strategy")
+    rows = spark.read.parquet(path).groupBy("outcome", F.coalesce("reason", F.lit("valid")).alias("reason")).agg(
+        F.count("*").alias("n"), F.coalesce(F.sum(F.when(F.col("outcome") == "valid", F.length("text"))), F.lit(0)).alias("chars"))
+    observed = F.create_map(*[F.lit(x) for pair in seen.items() for x in pair])
+    return rows.select("outcome", "reason", "n", observed[F.col("reason")].alias("seen"), "chars")
+
+
+@query
+def config_profile(spark, sf):
+    """A plug-in file instead of a profile: some recognizers on, one off, one of its own."""
+    path = shared_path(spark, "config")
+    text = """
+language: nl
+recognizers:
+  - {name: EmailRecognizer, type: pattern}
+  - {name: MACAddressRecognizer, type: pattern, enabled: true}
+  - {name: DutchIBANRecognizer, type: pattern, enabled: false}
+  - name: PassRecognizer
+    type: pattern
+    entity_type: PASS_NOTE
+    patterns: [{name: pass_note, regex: 'paspoort ZX[0-9]{7}', score: 0.7}]
+"""
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
+    options = options_of(read_config(spark, path))
+    return analyze_rows(letter_texts(spark, sf), "all", **options).select("doc_id", *SPAN)
+
+
+@query
+def sql_spans_table(spark, sf):
+    """Spans as rows by the SQL table function."""
+    sql.register(spark, ["EMAIL", "IBAN"])
+    letter_texts(spark, sf).createOrReplaceTempView("veil_letters")
+    return spark.sql("SELECT d.doc_id, s.position, s.entity_type, s.start, s.end, s.text "
+                     "FROM (SELECT doc_id, pii_spans(text) AS a FROM veil_letters) d, LATERAL spans_table(d.a) s")
+
+
+@query
+def sql_anonymize(spark, sf):
+    """The SQL function that rewrites a text."""
+    sql.register(spark, _WANTED)
+    letter_texts(spark, sf).createOrReplaceTempView("veil_letters")
+    return spark.sql("SELECT doc_id, pii_anonymize(text) AS anonymized_text FROM veil_letters")
+
+
 # --- span sets ---------------------------------------------------------------
 
 
@@ -359,6 +411,17 @@ _anonymize_query("anonymize_hash_salted", letter_texts, _WANTED, "hash", salt="z
 _anonymize_query("anonymize_per_type", letter_texts, _WANTED, "replace",
                  operators={"EMAIL": "hash", "IBAN": "mask", "MAC_ADDRESS": "redact"})
 _anonymize_query("anonymize_all", letter_texts, "all", "replace")
+
+
+@query
+def adjacent_merge(spark, sf):
+    """Addresses with nothing but blanks between them become one placeholder."""
+    texts = spark.read.parquet(f"{sf}/customer.parquet").select(F.col("c_custkey").alias("doc_id"), F.expr(
+        "concat(c_name, ': klant', c_custkey, '@voorbeeld.nl', space(int(1 + c_custkey % 3)), 'a', c_custkey, "
+        "'@voorbeeld.nl en b@voorbeeld.nl')").alias("text"))
+    return anonymize(texts, ["EMAIL"], merge_adjacent=True).select("doc_id", "anonymized_text")
+
+
 _anonymize_query("anonymize_documents_email", documents, ["EMAIL"], "replace")
 
 
@@ -489,6 +552,50 @@ def model_detector(spark, sf):
         "doc_id", *SPAN, "recognizer")
 
 
+@query
+def zero_shot_labels(spark, sf):
+    """Every label of the zero-shot model, and one it does not have."""
+    labels = F.array(*map(F.lit, [*catalog.ZERO_SHOT_LABELS, "x"]))
+    orders = spark.read.parquet(f"{sf}/orders.parquet")
+    named = orders.select(F.get(labels, F.expr("int(o_orderkey % 23)")).alias("label"))
+    return named.groupBy("label").agg(F.count("*").alias("n")).select(
+        "label", ner.map_label("label", catalog.ZERO_SHOT_LABELS).alias("entity_type"), "n")
+
+
+def word_model(rule: str, label: str):
+    """A stand-in for a model: what a rule finds, under a model's label."""
+    def model(frames):
+        import re
+
+        import pandas as pd
+        found = re.compile(rule)
+        for pdf in frames:
+            yield pd.DataFrame(
+                [(i, label, *m.span(1)) for i, t in zip(pdf.doc_id, pdf.text) for m in found.finditer(t)],
+                columns=["doc_id", "entity_type", "start", "end"])
+    return model
+
+
+@query
+def two_detectors(spark, sf):
+    """Two models in one stage: names and places."""
+    ner.register_detector("spacy", word_model(r"schreef (\S+)", "PER"), ["PERSON"])
+    ner.register_detector("places", word_model(r" uit (.+?) \(BSN", "GPE"), ["LOCATION"])
+    return analyze_rows(letter_texts(spark, sf), ["PERSON", "LOCATION", "IBAN"], detectors=["spacy", "places"]).select(
+        "doc_id", *SPAN, "recognizer")
+
+
+@query
+def verified_by_model(spark, sf):
+    """A model that sees candidates with the text around them, and nothing else."""
+    def even_after_passport(frames):
+        for pdf in frames:
+            yield pdf["before"].str.endswith("paspoort ") & pdf["text"].str.contains("[02468]$")
+
+    found = analyze(letter_texts(spark, sf), ["ID_NO", "BSN"], keep=["text"])
+    return explode_spans(ner.verify_with(found, even_after_passport, ["ID_NO"])).select("doc_id", *SPAN)
+
+
 @query
 def context_boost(spark, sf):
     return analyze_rows(letter_texts(spark, sf), ["KVK_NUMBER", "VAT_NUMBER"], context={
@@ -710,4 +817,50 @@ def evaluation_report(spark, sf):
     return rounded(rows.select(F.col("r.key").alias("entity_type"), "r.value.*"), "precision", "recall", "f1")
 
 
+def sample_file(spark, sf) -> str:
+    """The labelled letters as files that hold a JSON array each, one of every split."""
+    def arrays(batches):
+        import pandas as pd
+        yield pd.DataFrame({"value": ["[" + ",".join(j for b in batches for j in b["j"]) + "]"]})
+
+    rows = labelled_letters(spark, sf).select(F.to_json(F.struct(F.col("text").alias("full_text"), F.expr(
+        "transform(spans, s -> named_struct('entity_type', s.entity_type, 'entity_value', s.text, "
+        "'start_position', s.start, 'end_position', s.end))").alias("spans"))).alias("j"))
+    path = shared_path(spark, "samples")
+    rows.mapInPandas(arrays, "value string").write.text(path)
+    return path
+
+
+@query
+def gate_from_files(spark, sf):
+    """Samples and thresholds from files, evaluated and gated."""
+    minimums = shared_path(spark, "thresholds")
+    spark.createDataFrame([("EMAIL: {precision: 0.5, recall: 0.5}\nKVK_NUMBER: {recall: 0.5}\nPERSON: {precision: 0.1}",)],
+                          "value string").coalesce(1).write.text(minimums)
+    result = evaluate_samples(read_samples(spark, sample_file(spark, sf)))
+    return rounded(result.gate(read_thresholds(spark, minimums)), "precision", "recall", "f1")
+
+
+@query
+def golden_from_files(spark, sf):
+    """A golden set of JSON lines, compared, written as tables and read back."""
+    source, out = shared_path(spark, "golden"), shared_path(spark, "golden-report")
+    labelled_letters(spark, sf).select(F.col("sample_id").cast("string").alias("id"), "text", F.col("spans").alias("entities")
+                                       ).write.json(source)
+    golden = read_golden(spark, source)
+    write_golden(golden_comparison(golden).persisted(), golden, out)
+    kinds = "entity_type string, expected long, detected long, correct long"
+    types = spark.read.schema(kinds).json(f"{out}/types")
+    missing = spark.read.schema("missing string").json(f"{out}/missing").select(
+        F.regexp_extract("missing", ":(.*)@", 1).alias("entity_type")).groupBy("entity_type").agg(F.count("*").alias("missing"))
+    return types.join(missing, "entity_type", "left").na.fill(0, ["missing"])
+
+
+@query
+def golden_floors(spark, sf):
+    """The exact recall of expected types beside its floor."""
+    return _golden(spark, sf).floors(golden_minimums("classic")).select(
+        "entity_type", "tp", "fp", "fn", F.round("recall", 6).alias("recall"), "min_recall", "passed")
+
+
 QUERIES["anonymize_documents"] = anonymize_documents

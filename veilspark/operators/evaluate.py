@@ -328,6 +328,10 @@ class GoldenComparison:
 
     sides: DataFrame
 
+    def persisted(self) -> GoldenComparison:
+        """The sides computed once and cut off from their lineage."""
+        return GoldenComparison(cut_lineage(self.sides))
+
     @property
     def report(self) -> DataFrame:
         """``entity_type, expected, detected, correct, precision, recall, f1``."""
@@ -355,19 +359,24 @@ class GoldenComparison:
     def extra_shown(self, n: int = 10) -> DataFrame:
         return self.extra.orderBy("id", "start", "end", "entity_type").limit(n)
 
+    def floors(self, minimums: Mapping[str, float]) -> DataFrame:
+        """The exact recall of the expected types beside its floor, as :func:`gate` has it."""
+        expected = self.report.filter("expected > 0").select(
+            "entity_type", F.col("correct").alias("tp"), (F.col("detected") - F.col("correct")).alias("fp"),
+            (F.col("expected") - F.col("correct")).alias("fn"), "precision", "recall", "f1")
+        return gate(expected, recall_floor(self.sides.sparkSession, minimums), skip_missing=True)
+
     def to_json(self, total_examples: DataFrame) -> DataFrame:
-        """The report as one JSON row.  Meant for golden sets, which are small by nature."""
+        """The report as one JSON row of figures; the spans themselves are :attr:`missing` and :attr:`extra`."""
+        # as many rows as there are entity types
         per = self.report.select(F.struct("entity_type", F.struct(
-            "expected", "detected", "correct", "precision", "recall", "f1")).alias("p"))
-        parts = (per.unionByName(self.missing, allowMissingColumns=True)
-                 .unionByName(self.extra.select(F.struct("id", "entity_type", "start", "end").alias("x")),
-                              allowMissingColumns=True)
-                 .unionByName(total_examples.agg(F.count(F.lit(1)).alias("t")), allowMissingColumns=True))
-        joined = parts.agg(
-            F.max("t").alias("total_examples"),
-            F.map_from_entries(F.array_sort(F.collect_list("p"))).alias("per_entity"),
-            F.array_sort(F.collect_list("missing")).alias("missing_examples"),
-            F.array_sort(F.collect_list("x")).alias("extra_detections"))
+            "expected", "detected", "correct", "precision", "recall", "f1")).alias("p"),
+            (F.col("expected") - F.col("correct")).alias("m"), (F.col("detected") - F.col("correct")).alias("x"))
+        total = total_examples.agg(F.count(F.lit(1)).alias("t"))
+        joined = per.unionByName(total, allowMissingColumns=True).agg(
+            F.max("t").alias("total_examples"), F.coalesce(F.sum("m"), F.lit(0)).alias("missing"),
+            F.coalesce(F.sum("x"), F.lit(0)).alias("extra"),
+            F.map_from_entries(F.array_sort(F.collect_list("p"))).alias("per_entity"))
         return joined.select(F.to_json(F.struct("*")).alias("report"))
 
 

@@ -8,7 +8,8 @@ method from one, so its recall is not comparable.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator, Mapping
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from veilspark.catalog import NER_LABELS, NER_SCORE, ZERO_SHOT_LABELS, ZERO_SHOT_THRESHOLD
 from veilspark.functions.spans import (
-    NO_SPANS, SPANS_TYPE, let_sql, quote, quote_list, regex_hits_sql, scannable_sql,
+    NO_SPANS, SPANS_TYPE, blocks_sql, cut_sql, let_sql, quote, quote_list, regex_hits_sql, scannable_sql,
 )
 from veilspark.operators.names import Names, dictionary_spans, load_names  # noqa: F401 - also found here
 
@@ -77,34 +78,49 @@ def detector_entities(name: str) -> tuple[str, ...]:
     return _DETECTORS[name].entity_types
 
 
-def detector_column(name: str, text: Column) -> Column:
-    """Spans of one registered model as an array column (null text: no spans)."""
-    detector = _DETECTORS[name]
-    fn, labels, threshold, kinds = detector.fn, dict(detector.labels), detector.threshold, detector.entity_types
+def detectors_column(names: Sequence[str], text: Column) -> Column:
+    """Spans of registered models as a struct of arrays ``d0, d1, ..`` (null text: no spans).
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        index_sets = []
-
-        def frames():
-            for texts in batches:
-                present = texts[texts.notna()]
-                index_sets.append((len(texts), present.index))
-                yield pd.DataFrame({"doc_id": present.index, "text": present.to_numpy()})
-
-        for found in fn(frames()):
-            size, _ = index_sets.pop(0)
-            lists: list[list] = [[] for _ in range(size)]
-            for row in found.itertuples(index=False):
-                kind = labels.get(row.entity_type, row.entity_type)
-                score = float(getattr(row, "score", NER_SCORE))
-                if score >= threshold and kind in kinds:
-                    lists[row.doc_id].append({
-                        "entity_type": kind, "text": None, "start": int(row.start), "end": int(row.end),
-                        "score": score, "recognizer": name, "pattern": row.entity_type})
-            yield pd.Series(lists)
+    One stage for all of them: a text travels to Python once, whatever the number of models.  The models
+    take the same frames in turn; one that reads ahead makes the others' frames wait for them.
+    """
+    models = [_DETECTORS[n] for n in names]
 
-    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return F.pandas_udf(run, SPANS_TYPE)(text)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        queues, sizes, source = [deque() for _ in models], deque(), iter(batches)
+
+        def pull() -> bool:
+            texts = next(source, None)
+            if texts is None:
+                return False
+            present = texts[texts.notna()]
+            sizes.append(len(texts))
+            for queue in queues:
+                queue.append(pd.DataFrame({"doc_id": present.index, "text": present.to_numpy()}))
+            return True
+
+        def frames(queue: deque) -> Iterator[pd.DataFrame]:
+            while queue or pull():
+                yield queue.popleft()
+
+        for found in zip(*(m.fn(frames(q)) for m, q in zip(models, queues))):
+            size = sizes.popleft()
+            yield pd.DataFrame({f"d{i}": _as_spans(m, rows, size) for i, (m, rows) in enumerate(zip(models, found))})
+
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
+    return F.pandas_udf(run, ", ".join(f"d{i} {SPANS_TYPE}" for i in range(len(models))))(text)
+
+
+def _as_spans(model: Detector, found: pd.DataFrame, size: int) -> list[list[dict]]:
+    lists: list[list] = [[] for _ in range(size)]
+    for row in found.itertuples(index=False):
+        kind = model.labels.get(row.entity_type, row.entity_type)
+        score = float(getattr(row, "score", NER_SCORE))
+        if score >= model.threshold and kind in model.entity_types:
+            lists[row.doc_id].append({
+                "entity_type": kind, "text": None, "start": int(row.start), "end": int(row.end),
+                "score": score, "recognizer": model.name, "pattern": row.entity_type})
+    return lists
 
 
 def verify(spans: DataFrame, predicate: Column) -> DataFrame:
@@ -116,6 +132,49 @@ def verify(spans: DataFrame, predicate: Column) -> DataFrame:
     return spans.filter(F.coalesce(predicate, F.lit(False)))
 
 
+def verify_with(analyzed: DataFrame, fn: ModelFn, entity_types: Iterable[str], text_col: str = "text",
+                spans_col: str = "pii_entities", window: int = 40) -> DataFrame:
+    """Keep those spans of some types that a model agrees with; spans of other types stay.
+
+    ``fn`` gets an iterator of frames ``entity_type, text, before, after`` and yields a boolean series for each.  Only
+    candidates travel to it, each with ``window`` characters on both sides, never whole texts, and no frame is empty.  Verdicts
+    are matched by position in the row, so there is no shuffle, and a stream will do.  No verdict (null) drops the span.
+    """
+    around = lambda a, b: cut_sql("_veil_vb", a, b)
+    candidate = (f"named_struct('entity_type', s.entity_type, 'text', {around('s.start', 's.end')}, "
+                 f"'before', {around(f'greatest(0, s.start - {int(window)})', 's.start')}, "
+                 f"'after', {around('s.end', f'least(_veil_vl, s.end + {int(window)})')})")
+    wanted = f"s.entity_type IN ({quote_list(entity_types)})"
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        asked = deque()
+
+        def frames() -> Iterator[pd.DataFrame]:
+            for rows in batches:
+                rows = [list(r) if r is not None else [] for r in rows]
+                asked.append(rows)
+                flat = [c for r in rows for c in r if c is not None]
+                if flat:
+                    yield pd.DataFrame(flat, columns=["entity_type", "text", "before", "after"])
+
+        def answered(verdicts: Iterator) -> pd.Series:
+            return pd.Series([[c is None or next(verdicts) is True for c in r] for r in asked.popleft()], dtype=object)
+
+        for verdicts in fn(frames()):
+            while not any(c is not None for r in asked[0] for c in r):
+                yield answered(iter(()))
+            yield answered(iter([v is not None and v == True for v in verdicts]))  # noqa: E712 - numpy booleans too
+        while asked:
+            yield answered(iter(()))
+
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    rows = analyzed.withColumn("_veil_vb", F.expr(blocks_sql(text_col))).withColumn("_veil_vl", F.length(text_col))
+    rows = rows.withColumn("_veil_vc", F.expr(f"transform({spans_col}, s -> if({wanted}, {candidate}, NULL))"))
+    rows = rows.withColumn("_veil_vv", F.pandas_udf(run, "array<boolean>")("_veil_vc"))
+    kept = F.expr(f"filter({spans_col}, (s, i) -> _veil_vv[i])")
+    return rows.withColumn(spans_col, kept).select(*analyzed.columns)
+
+
 # ---------------------------------------------------------------------------
 # Names and external spans
 # ---------------------------------------------------------------------------

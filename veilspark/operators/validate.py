@@ -71,6 +71,19 @@ def rejected_rows(
     return df.withColumn("reason", reason).filter(F.col("reason").isNotNull())
 
 
+def checked_rows(df: DataFrame, text_col: str = "text", language: str = DEFAULT_LANGUAGE, language_col: str | None = None,
+                 strategy_col: str | None = None) -> DataFrame:
+    """Every row with its ``reason``: null for valid rows, which are as :func:`prepare` makes them; rejected ones stay as they are."""
+    check_language(language)
+    lang = F.col(language_col) if language_col else F.lit(None).cast("string")
+    reason = rejection(F.col(text_col), F.col(language_col) if language_col else None,
+                       F.col(strategy_col) if strategy_col else None)
+    rows = df.withColumn("reason", reason)
+    valid = F.col("reason").isNull()
+    return rows.withColumn(text_col, F.when(valid, strip_text(F.col(text_col))).otherwise(F.col(text_col))).withColumn(
+        "language", F.when(valid, F.coalesce(lang, F.lit(language))).otherwise(lang))
+
+
 def bad_labels(samples: DataFrame, id_col: str = "sample_id", text_col: str = "text") -> DataFrame:
     """Labels whose ``text[start:end]`` is not the stated value."""
     label = F.col("label")

@@ -81,9 +81,10 @@ def scan(
         "_veil_found", F.expr(scan_sql("_veil_clean", plan.rows, case == "insensitive", validated_score)))
     spans = [resolve.trim_spans("_veil_found") if trim_spans else "_veil_found"]
     by_name = F.col("language") == DEFAULT_LANGUAGE  # other languages: pattern rules only
-    for i, d in enumerate(d for d in plan.detectors if d not in ("gazetteer", "external")):
-        rows = rows.withColumn(f"_veil_d{i}", ner.detector_column(d, F.when(by_name, F.col(text_col))))
-        spans.append(f"_veil_d{i}")
+    models = [d for d in plan.detectors if d not in ("gazetteer", "external")]
+    if models:
+        rows = rows.withColumn("_veil_models", ner.detectors_column(models, F.when(by_name, F.col(text_col))))
+        spans += [f"_veil_models.d{i}" for i in range(len(models))]
     if gazetteer is not None:
         rows = ner.join_dictionary(rows, gazetteer, id_col, text_col, by_name)
         spans.append("_veil_dictionary")

@@ -19,9 +19,11 @@ from veilspark import catalog
 from veilspark.functions.spans import WHITESPACE
 from veilspark.operators import evaluate as E
 from veilspark.plans.analyze import analyze, anonymize, explode_spans, scan
+from veilspark.plans.config import options_of
 from veilspark.sources import readers, sinks
 
 CLI_SCORE_THRESHOLD = 0.4
+BAD_INPUT = (PySparkException, Py4JJavaError, ValueError, KeyError, AttributeError, TypeError)
 
 
 def pattern_entity_filter(profile: str = catalog.DEFAULT_PROFILE) -> tuple[str, ...]:
@@ -79,7 +81,8 @@ def run_evaluation(spark: SparkSession, args: argparse.Namespace) -> int:
         samples = readers.read_samples(spark, args.data)
         samples.agg(F.count("text")).first()  # a sample file that does not parse ends here
         thresholds = readers.read_thresholds(spark, args.thresholds)
-    except (PySparkException, Py4JJavaError, ValueError, KeyError, AttributeError, TypeError) as exc:
+        options = _configured(spark, args)
+    except BAD_INPUT as exc:
         print(f"bad input: {exc}", file=sys.stderr)
         return 2
     entities = None
@@ -87,8 +90,7 @@ def run_evaluation(spark: SparkSession, args: argparse.Namespace) -> int:
         entities = pattern_entity_filter(args.profile)
     elif args.entities:
         entities = catalog.parse_entity_list(args.entities)
-    result = evaluate_samples(samples, args.iou_threshold, args.score_threshold, entities,
-                              profile=args.profile).persisted()
+    result = evaluate_samples(samples, args.iou_threshold, args.score_threshold, entities, **options).persisted()
     gated = result.gate(thresholds)
     print_rows(gated.orderBy("entity_type"))
     if args.show_errors:
@@ -102,27 +104,64 @@ def run_evaluation(spark: SparkSession, args: argparse.Namespace) -> int:
     return 0
 
 
+def golden_floors(profile: str) -> dict[str, float]:
+    """Hard floors of the pattern types and the bands of the profile's name types."""
+    return {**catalog.PATTERN_RECALL_FLOOR, **catalog.NER_RECALL_BANDS.get(profile, {})}
+
+
 def run_golden(spark: SparkSession, args: argparse.Namespace) -> int:
-    golden = readers.read_golden(spark, args.data)
-    compared = golden_comparison(golden, profile=args.profile)
+    """Compare exactly and gate the recall of the expected types."""
+    try:
+        golden = readers.read_golden(spark, args.data)
+        golden.agg(F.count("text"), F.count("entities")).first()  # a line that does not parse ends here
+        options = _configured(spark, args)
+    except BAD_INPUT as exc:
+        print(f"bad input: {exc}", file=sys.stderr)
+        return 2
+    compared = golden_comparison(golden, **options).persisted()
     print_rows(compared.report.orderBy("entity_type"))
     print_rows(compared.missing)
     print_rows(compared.extra_shown())
     if args.output:
-        sinks.write_report(compared.to_json(golden), args.output, mode="overwrite")
-    return 0
+        sinks.write_golden(compared, golden, args.output, mode="overwrite")
+    floors = compared.floors(golden_floors(args.profile)).orderBy("entity_type")
+    print_rows(floors)
+    if args.no_gate or E.verdict(floors).first()["passed"]:
+        return 0
+    print("one or more recall floors were not reached")
+    return 1
+
+
+def _configured(spark: SparkSession, args: argparse.Namespace) -> dict:
+    """The options a profile or a plug-in file stands for."""
+    if not args.config:
+        return {"profile": args.profile}
+    return {"profile": args.profile, **options_of(readers.read_config(spark, args.config), args.without_models)}
 
 
 def run_table(spark: SparkSession, args: argparse.Namespace) -> int:
-    texts = readers.read_texts(spark, args.input, args.format)
-    entities = catalog.parse_entity_list(args.entities) if args.entities else None
-    if entities == ("ALL",):
-        entities = "all"
+    try:
+        options = _configured(spark, args)
+        if args.gazetteer:
+            options["gazetteer"] = spark.read.parquet(args.gazetteer)
+        for name in ("case", "min_score", "language"):
+            if getattr(args, name) is not None:
+                options[name] = getattr(args, name)
+        texts = readers.read_texts(spark, args.input, args.format)
+        entities = catalog.parse_entity_list(args.entities) if args.entities else None
+        if entities == ("ALL",):
+            entities = "all"
+        if args.command == "analyze":
+            done = analyze(texts, entities, **options)
+        else:
+            done = anonymize(texts, entities, args.strategy, salt=args.salt, **options)
+    except BAD_INPUT as exc:
+        print(f"bad input: {exc}", file=sys.stderr)
+        return 2
     if args.command == "analyze":
-        sinks.write_table(analyze(texts, entities, profile=args.profile), args.output)
+        sinks.write_table(done, args.output)
     else:
-        sinks.write_anonymized(anonymize(texts, entities, args.strategy, profile=args.profile), args.output,
-                               keep_original=not args.drop_original)
+        sinks.write_anonymized(done, args.output, keep_original=not args.drop_original)
     return 0
 
 
@@ -136,7 +175,12 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("--output", required=True)
         c.add_argument("--entities")
         c.add_argument("--profile", default=catalog.DEFAULT_PROFILE)
+        c.add_argument("--case", choices=("as_written", "insensitive"))
+        c.add_argument("--min-score", type=float)
+        c.add_argument("--language")
+        c.add_argument("--gazetteer", help="parquet table of name and entity_type")
         if name == "anonymize":
+            c.add_argument("--salt")
             c.add_argument("--strategy", default=catalog.DEFAULT_STRATEGY)
             c.add_argument("--drop-original", action="store_true")
     c = sub.add_parser("evaluate")
@@ -154,6 +198,10 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--data", required=True)
     c.add_argument("--profile", default=catalog.DEFAULT_PROFILE)
     c.add_argument("--output")
+    c.add_argument("--no-gate", action="store_true")
+    for c in sub.choices.values():
+        c.add_argument("--config", help="plug-in file; replaces the patterns and models of the profile")
+        c.add_argument("--without-models", action="store_true", help="leave out the file's models")
     return p
 
 

@@ -51,8 +51,8 @@ def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
 
 
 def read_golden(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines ``id, text, entities``; blank lines are skipped."""
-    return spark.read.schema(GOLDEN_SCHEMA).json(path)
+    """JSON lines ``id, text, entities``; blank lines are skipped, a line that does not parse ends the job."""
+    return spark.read.schema(GOLDEN_SCHEMA).option("mode", "FAILFAST").json(path)
 
 
 def golden_spans(golden: DataFrame) -> DataFrame:
@@ -72,8 +72,7 @@ def read_samples(spark: SparkSession, path: str) -> DataFrame:
     """A JSON array of labelled sentences as ``sample_id, text, spans``.
 
     An absent ``spans`` is an empty list.  The id is a hash of text and labels;
-    equal samples share it, and :func:`veilspark.operators.evaluate.unique_spans`
-    counts their spans.
+    equal samples share it, and the evaluation counts their spans.
     """
     raw = spark.read.schema(SAMPLE_SCHEMA).option("multiLine", True).option("mode", "FAILFAST").json(path)
     return raw.select(
@@ -89,18 +88,22 @@ def golden_as_samples(golden: DataFrame) -> DataFrame:
 
 def read_thresholds(spark: SparkSession, path: str) -> DataFrame:
     """A YAML map ``type: {precision, recall}`` (a few dozen types)."""
-    import yaml
-
-    text = "\n".join(r.value for r in spark.read.option("wholetext", True).text(path).collect())
-    data = yaml.safe_load(text) or {}
+    data = _yaml(spark, path)
     if not isinstance(data, Mapping):
         raise ValueError(f"{path}: not a map of entity types")
     return thresholds_table(spark, {k: v or {} for k, v in data.items()})
 
 
-def read_config(path: str) -> dict:
-    """A plug-in file: ``recognizers`` (see ``catalog.recognizer_from_config``) and switches."""
+def read_config(spark: SparkSession, path: str) -> dict:
+    """A plug-in file, for :func:`veilspark.plans.config.options_of`."""
+    data = _yaml(spark, path)
+    if not isinstance(data, Mapping):
+        raise ValueError(f"{path}: not a map")
+    return dict(data)
+
+
+def _yaml(spark: SparkSession, path: str):
+    """A small YAML file, from wherever Spark reads."""
     import yaml
 
-    with open(path, encoding="utf-8") as f:
-        return yaml.safe_load(f) or {}
+    return yaml.safe_load("\n".join(r.value for r in spark.read.option("wholetext", True).text(path).collect())) or {}
