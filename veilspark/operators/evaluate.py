@@ -8,7 +8,7 @@ characters of context an error table shows are cut out while the text is at hand
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -90,11 +90,17 @@ class Evaluation:
 
     outcomes: DataFrame
     entities: tuple[str, ...] | None = None
+    # the same outcomes without texts, for the tables that count
+    lean: Callable[[], DataFrame] | None = None
 
     def persisted(self) -> Evaluation:
         """Outcomes computed once and cut off from their lineage."""
         return Evaluation(cut_lineage(self.outcomes), self.entities)
 
+    @property
+    def _counted(self) -> DataFrame:
+        return self.lean() if self.lean else self.outcomes
+
     def _wanted(self, df: DataFrame) -> DataFrame:
         return df if self.entities is None else df.filter(F.col("entity_type").isin(*self.entities))
 
@@ -102,7 +108,7 @@ class Evaluation:
     def counts(self) -> DataFrame:
         """``entity_type, tp, fp, fn``."""
         total = lambda k: F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(k)
-        return self._wanted(self.outcomes).groupBy("entity_type").agg(total("tp"), total("fp"), total("fn"))
+        return self._wanted(self._counted).groupBy("entity_type").agg(total("tp"), total("fp"), total("fn"))
 
     @property
     def metrics(self) -> DataFrame:
@@ -119,7 +125,7 @@ class Evaluation:
     def metrics_rollup(self) -> DataFrame:
         """Per type and overall (``entity_type`` null) in one pass."""
         total = lambda k: F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(k)
-        return with_scores(self._wanted(self.outcomes).rollup("entity_type").agg(
+        return with_scores(self._wanted(self._counted).rollup("entity_type").agg(
             total("tp"), total("fp"), total("fn")))
 
     @property
@@ -136,7 +142,7 @@ class Evaluation:
         ``O``: spurious predictions beside theirs.  Elsewhere: truth beside the
         type found in its place.  Labels are the types with counts, and ``O``.
         """
-        o = self.outcomes
+        o = self._counted
         cell = lambda r, c: F.struct(r.alias("row_label"), c.alias("col_label"))
         t, outside = F.col("entity_type"), F.lit(OUTSIDE)
         cells = F.array_compact(F.array(
@@ -269,7 +275,12 @@ def evaluate(
     if not 0 < iou_threshold <= 1:
         raise ValueError("iou_threshold must be in (0, 1]")
     found = predictions.filter(F.col("score") >= score_threshold)
-    return Evaluation(outcomes(found, truth, iou_threshold), tuple(entities) if entities else None)
+    texts = ("text", "context")
+
+    def lean() -> DataFrame:
+        return outcomes(found.drop(*texts), truth.drop(*texts), iou_threshold)
+
+    return Evaluation(outcomes(found, truth, iou_threshold), tuple(entities) if entities else None, lean)
 
 
 # ---------------------------------------------------------------------------

@@ -81,18 +81,19 @@ def matched(rows: list[tuple], threshold: float) -> Iterator[tuple]:
 
 def _sweep(threshold: float, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, now, out = [], None, []
+        group, out = [], []
 
         def made():
             columns = list(zip(*out)) if out else [[]] * len(_OUT)
             out.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
+        sample = window = None
         for batch in batches:
             for row in zip(*(column.to_pylist() for column in batch.columns)):
-                if row[:2] != now:
+                if row[1] != window or row[0] != sample:
                     out += matched(group, threshold)
-                    group, now = [], row[:2]
+                    group, (sample, window) = [], row[:2]
                     if len(out) >= OUT_ROWS:
                         yield made()
                 group.append(row)
