@@ -6,15 +6,16 @@ payloads meet by their SHA-1 in an aggregate; only ids and digests are shuffled
 few, and the pages themselves only where Spark finds them too many to broadcast. Spark's text writer stores the records, so any file system it knows
 will do; archives hold as many records as make about ``archive_bytes`` bytes on average.
 
-Reading. An archive is read whole by one task, so its size, which the writer bounds, bounds the memory. A plain archive is parsed
-record by record, a compressed one member by member. A record must have a version line, a content length, the closing
-blank lines, and where it holds a payload its stated digest. When a check fails the reader looks for the next
-version line that begins a valid record (in gzip data: the next member that inflates), goes on there, and logs the bytes
-between as a quarantined gap. Later records are recovered wherever they start.
+Reading. An archive is read whole by one task, so its size, which the writer bounds, bounds the memory. Plain data is parsed
+record by record, gzip data member by member, and an archive may hold both. A record must have a version line, a content
+length, the closing blank lines, and where it holds a payload its stated digest (a digest of an unknown kind says nothing). When a check
+fails the reader looks for the next version line or gzip member, whatever the archive began with, goes on at the first that gives valid
+records, and logs the bytes between as a quarantined gap. Later records are recovered wherever they start, and of a
+damaged member those before the damage.
 
 Results for odd input: a null html is an empty payload; empty payloads are equal like others; a null page id is written
 without an id and never the largest one, and is read back as null; rows equal in id and payload are all
-responses; a null or broken url is written as ``about:blank`` or cleaned of line ends; an empty table writes
+responses; bytes that are not UTF-8 are replaced by U+FFFD; a null or broken url is written as ``about:blank`` or cleaned of line ends; an empty table writes
 an archive without records and reads as no rows. Other columns are ignored.
 """
 
@@ -72,8 +73,8 @@ def _records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
                    min_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> None:
     """Write every page as a record into archives under ``path``."""
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"),
-                        F.coalesce(F.col(html_col), F.lit("")).alias("html"))
+    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.make_valid_utf8(F.col(url_col).cast("string")).alias("url"),
+                        F.coalesce(F.make_valid_utf8(F.col(html_col).cast("string")), F.lit("")).alias("html"))
     rows = rows.withColumn("sha", F.sha1(F.col("html").cast("binary")))
     sizes = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("html") + 600).alias("bytes")).first()
     often = rows.where(F.octet_length("html") >= min_bytes).groupBy("sha").agg(
@@ -88,6 +89,17 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     discard(known)
 
 
+def agrees(label: str, payload: bytes) -> bool:
+    """Whether a stated digest, in base 32 or 16 of either case, is the payload's; one of an unknown kind says nothing."""
+    kind, colon, stated = label.rpartition(":")
+    kind = kind.strip().lower().replace("-", "") if colon else "sha1"
+    if not stated.strip() or kind not in ("md5", "sha1", "sha224", "sha256", "sha384", "sha512"):
+        return True
+    own = hashlib.new(kind, payload, usedforsecurity=False)
+    given = stated.strip().rstrip("=")
+    return given.lower() == own.hexdigest() or given.upper() == base64.b32encode(own.digest()).decode().rstrip("=")
+
+
 class Broken(ValueError):
     """A record that fails a check."""
 
@@ -99,12 +111,16 @@ def parse_record(data: bytes, at: int) -> tuple[dict, int]:
     head_end = data.find(END, at)
     if head_end < 0:
         raise Broken("headers without an end")
-    fields = {}
+    fields, last = {}, None
     for line in data[at + 10:head_end].split(b"\r\n"):
         name, colon, value = line.partition(b":")
+        if line[:1] in (b" ", b"\t") and last:  # a folded line
+            fields[last] += " " + line.strip().decode("utf-8", "replace")
+            continue
         if not colon:
             raise Broken("bad header line")
-        fields[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
+        last = name.strip().lower().decode("latin-1")
+        fields[last] = value.strip().decode("utf-8", "replace")
     length = fields.get("content-length", "")
     if not re.fullmatch(r"[0-9]{1,18}", length):
         raise Broken("no content length")
@@ -120,12 +136,12 @@ def parse_record(data: bytes, at: int) -> tuple[dict, int]:
         sized = re.search(rb"(?i)\r\ncontent-length:\s*([0-9]+)", head)
         stated = int(sized.group(1)) if sized else len(payload)
     kind = fields.get("warc-type", "")
-    digest = fields.get("warc-payload-digest", "").removeprefix("sha1:")
+    label = fields.get("warc-payload-digest", "")
+    digest = label.removeprefix("sha1:")
     if kind != "revisit":
-        own = digest_of(payload)
-        if stated != len(payload) or (digest and digest != own):
+        if stated != len(payload) or not agrees(label, payload):
             raise Broken("payload differs from its length or digest")
-        digest = own
+        digest = digest_of(payload)
 
     def page(name: str) -> int | None:
         found = re.fullmatch(r"<urn:page:(-?[0-9]{1,19})>", fields.get(name, ""))
@@ -161,45 +177,104 @@ def salvage_plain(data: bytes, base: int = 0) -> Iterator[dict]:
         yield _gap(base + lost, base + len(data), why)
 
 
-def _inflate(data: bytes, at: int) -> tuple[bytes, int]:
-    """The gzip member at a place, and the place after it."""
-    if data[at:at + 3] != _MEMBER:
-        raise Broken("no gzip member")
-    inflater, parts = zlib.decompressobj(31), []
+def _header_end(data: bytes, at: int) -> int:
+    """The place after a gzip member's header."""
+    flags, end = data[at + 3] if at + 10 <= len(data) else 0, at + 10
+    if flags & 4:
+        end += 2 + int.from_bytes(data[end:end + 2], "little")
+    for flag in (8, 16):
+        if flags & flag:
+            zero = data.find(b"\0", end)
+            end = zero + 1 if zero >= 0 else len(data)
+    return end + (2 if flags & 2 else 0)
+
+
+def _inflate(data: bytes, at: int) -> tuple[bytes, int, str | None]:
+    """(what the gzip member at a place holds up to any damage, the place reached, what is wrong)."""
+    inflater, parts, step = zlib.decompressobj(-15), [], 1 << 16
+    body = _header_end(data, at)
+    rest = memoryview(data)[body:body + step]
+    fed = body + len(rest)
     while not inflater.eof:
-        if at >= len(data):
-            raise Broken("gzip member without an end")
-        parts.append(inflater.decompress(data[at:at + 65536]))
-        at = min(at + 65536, len(data))
-    return b"".join(parts), at - len(inflater.unused_data)
+        if not len(rest):
+            rest = memoryview(data)[fed:fed + (1 << 16)]
+            fed += len(rest)
+            if not len(rest):
+                return b"".join(parts), len(data), "gzip member without an end"
+        before = inflater.copy()
+        try:
+            parts.append(inflater.decompress(rest, step))
+            rest = inflater.unconsumed_tail
+        except zlib.error as failed:
+            # what came before the damage is wanted to the last byte
+            inflater, step = before, step // 2
+            if not step:
+                return b"".join(parts), fed - len(rest), str(failed)
+    end = fed - len(inflater.unused_data)
+    plain = b"".join(parts)
+    if data[end:end + 8] != zlib.crc32(plain).to_bytes(4, "little") + (len(plain) & 0xFFFFFFFF).to_bytes(4, "little"):
+        return plain, end, "gzip member differs from its checksum"
+    return plain, end + 8, None
+
+
+class Starts:
+    """Places of the next gzip member and of the next version line, each looked for once."""
+
+    def __init__(self, data: bytes):
+        self.data, self.member, self.version = data, -1, -1
+
+    def after(self, at: int, plain: int) -> int:
+        """The next member from one place on, or version line from another on."""
+        if self.member < at:
+            found = self.data.find(_MEMBER, at)
+            self.member = found if found >= 0 else len(self.data)
+        if self.version < plain:
+            found = _NEXT.search(self.data, plain)
+            self.version = found.start() if found else len(self.data)
+        return min(self.member, self.version)
 
 
-def salvage_gzip(data: bytes) -> Iterator[dict]:
-    """Records of gzip members; offsets of records are those of their member, gaps are in compressed bytes."""
-    at, lost, why = 0, None, ""
+def salvage(data: bytes) -> Iterator[dict]:
+    """Records of an archive, plain, compressed or mixed, and a gap row for every run of bytes that gave no whole record.
+
+    A record in a member has the member's offset and length; gaps are in the bytes of the archive. Of a damaged member the
+    whole records before the damage are kept, with what is wrong as their ``problem``, and the member is logged as a gap all the same.
+    """
+    starts, at, lost, why = Starts(data), 0, None, ""
     while at < len(data):
-        try:
-            plain, end = _inflate(data, at)
-        except (Broken, zlib.error) as failed:
-            if lost is None:
-                lost, why = at, str(failed)
-            following = data.find(_MEMBER, at + 1)
-            at = following if following >= 0 else len(data)
-            continue
-        if lost is not None:
+        found, end, problem, reached = [], None, None, at + 1
+        if data[at:at + 3] == _MEMBER:
+            plain, end, problem = _inflate(data, at)
+            if problem:
+                # the damage may also hide where the member ends, so members are looked for from its beginning on; a
+                # stored member shows its records' lines, and those kept are not to be read again
+                end, reached = None, end
+            parts = list(salvage_plain(plain))
+            found = [r | {"offset": at, "problem": problem} for r in parts if r["record_type"] != "gap"]
+            reached = reached if found else at + 1
+            if not found and not problem and plain:
+                end, problem = None, "gzip member without records"
+            elif not problem:
+                found = [r | {"offset": at} for r in parts]
+        else:
+            try:
+                one, end = parse_record(data, at)
+                found = [one | {"offset": at}]
+            except Broken as failed:
+                problem = str(failed)
+        after = starts.after(at + 1, reached) if end is None else end
+        if lost is not None and (found or not problem):
             yield _gap(lost, at, why)
             lost = None
-        for found in salvage_plain(plain):
-            yield found | {"offset": at, "length": end - at}
-        at = end
+        for r in found:
+            yield r | {"length": after - at}
+        if problem and lost is None:
+            lost, why = at, problem
+        at = after
     if lost is not None:
         yield _gap(lost, len(data), why)
 
 
-def salvage(data: bytes) -> Iterator[dict]:
-    return salvage_gzip(data) if data[:3] == _MEMBER else salvage_plain(data)
-
-
 FIELDS = ("page_id", "record_type", "url", "payload", "payload_bytes", "payload_digest", "refers_to", "offset", "length",
           "problem")
 ROW = ("page_id long, record_type string, url string, payload binary, payload_bytes long, payload_digest string, "
