@@ -34,11 +34,44 @@ def test_pairs_beyond_the_sum():
         insult, group = draw.random(2) < 0.5
         words = [f"w{draw.integers(30)}" for _ in range(6)] + ["fool"] * int(insult) + ["folk"] * int(group)
         rows.append((int(insult == group), np.unique(tox.Buckets().of(" ".join(words)))))
-    model = tox.fit(rows[:600], epochs=60, factor_rate=0.3)
+    model = tox.chosen_fit(rows[:600])  # with the query's own settings
     right = [(model.scores([t])[0] > 0.5) == bool(y) for y, t in rows[600:]]
     assert np.mean(right) > 0.95
 
 
+def test_sums_where_labels_have_no_pairs():
+    draw = np.random.default_rng(2)
+    rows = []
+    for _ in range(700):
+        words = [f"w{draw.integers(60)}" for _ in range(8)] + ["fool"] * int(draw.random() < 0.3)
+        rows.append((int(("fool" in words) != (draw.random() < 0.1)), np.unique(tox.Buckets().of(" ".join(words)))))
+    model, weak = tox.chosen_fit(rows[:500]), tox.fit(rows[:500])
+    texts = [t for _, t in rows[500:]]
+    assert np.allclose(model.scores(texts), weak.scores(texts))
+
+
+def test_query_scores_are_those_of_the_machine(spark):
+    """All scores recomputed from the fitted weights, word by word and pair by pair."""
+    docs = table(spark, SMALL, "documents")
+    model = tox.trained(docs, table(spark, SMALL, "labels"), tox.remainder("id", 5) != 0)
+    memo, found = tox.Buckets(), {r.doc_id: r.score for r in tox.op5_toxicity_fm(spark, SMALL).collect()}
+    for r in docs.collect():
+        terms = sorted({int(t) for t in memo.of(r.text or "") if model.active[t]})
+        v = model.factors[terms].astype(float)
+        pairs = sum(float(v[i] @ v[j]) for i in range(len(terms)) for j in range(i))
+        raw = model.bias + float(model.weights[terms].astype(float).sum()) + pairs
+        assert np.isclose(found[r.doc_id], 1 / (1 + np.exp(-np.clip(raw, -700, 700))), atol=1e-9)
+
+
+def test_sample_is_bounded_in_rows(spark, monkeypatch):
+    docs = spark.range(3000).selectExpr("id % 2 AS doc_id", "concat('text ', id) AS text")
+    labels = spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(tox, "chosen_fit", lambda rows: seen.append(len(rows)) or tox.fit(rows))
+    tox.trained(docs, labels, F.lit(True))
+    assert seen == [2]
+
+
 def test_pair_sum_is_exact():
     draw = np.random.default_rng(1)
     model = tox.FactorizationMachine(3)
