@@ -85,7 +85,7 @@ class Encoder(dict):
     def __missing__(self, unit: str) -> bytes:
         bare = unit.lstrip(BARE)
         word = bare.rstrip(STOPS)
-        blank = "" if bare is not unit or unit == "\n" else " "
+        blank = "" if unit[0] in (BARE, "\n") else " "
         if not word.isalpha() or max(word) >= chr(LETTERS):
             found = self.whole(blank + bare)
         elif word != bare:
