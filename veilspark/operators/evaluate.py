@@ -78,28 +78,37 @@ def unique_spans(rows: DataFrame, scored: bool) -> DataFrame:
     return rows.groupBy(*identity).agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in extras])
 
 
-@dataclass
 class Evaluation:
     """Outcome rows and the tables made from them.
 
     ``outcomes``: one row per distinct span with ``kind`` (``tp``, ``fn``,
     ``fp``), ``n``, and for a missed truth the prediction of another type that
     covers it (``wrong_*``).  Several tables share them, so persist or write
-    them (:meth:`persisted`) before asking for more than one at scale.
+    them (:meth:`persisted`) before asking for more than one at scale.  Tables that only
+    count are made from ``lean`` outcomes, without texts, if there is a way to make those.
     """
 
-    outcomes: DataFrame
-    entities: tuple[str, ...] | None = None
-    # the same outcomes without texts, for the tables that count
-    lean: Callable[[], DataFrame] | None = None
+    def __init__(self, outcomes: DataFrame | Callable[[], DataFrame], entities: tuple[str, ...] | None = None,
+                 lean: Callable[[], DataFrame] | None = None):
+        self._made, self._lean, self.entities = outcomes, lean, entities
 
-    def persisted(self) -> Evaluation:
-        """Outcomes computed once and cut off from their lineage."""
-        return Evaluation(cut_lineage(self.outcomes), self.entities)
+    @property
+    def outcomes(self) -> DataFrame:
+        if callable(self._made):
+            self._made = self._made()
+        return self._made
 
     @property
     def _counted(self) -> DataFrame:
-        return self.lean() if self.lean else self.outcomes
+        if self._lean is None:
+            return self.outcomes
+        if callable(self._lean):
+            self._lean = self._lean()
+        return self._lean
+
+    def persisted(self) -> Evaluation:
+        """Outcomes computed once and cut off from their lineage."""
+        return Evaluation(cut_lineage(self.outcomes), self.entities)
 
     def _wanted(self, df: DataFrame) -> DataFrame:
         return df if self.entities is None else df.filter(F.col("entity_type").isin(*self.entities))
@@ -152,13 +161,12 @@ class Evaluation:
             F.when(F.col("wrong_type").isNotNull(), cell(t, F.col("wrong_type")))))
         long = o.select("n", F.explode(cells).alias("c")).groupBy("c.row_label", "c.col_label").agg(
             F.sum("n").alias("n"))
-        # a handful of type names
-        kinds = self.counts.select("entity_type")
-        rows = kinds.select(F.col("entity_type").alias("row_label"))
-        cols = kinds.select(F.col("entity_type").alias("col_label"))
-        outside_row = long.sparkSession.range(1).select(F.lit(OUTSIDE).alias("l"))
-        return (long.join(rows.union(outside_row), "row_label", "left_semi")
-                .join(cols.union(outside_row), "col_label", "left_semi")
+        # a few hundred label pairs at most; labels are the types with counts of their own
+        row, col = F.col("row_label"), F.col("col_label")
+        own = F.when(row == OUTSIDE, col).when((col == OUTSIDE) | (row == col), row)
+        kinds = F.collect_set(own if self.entities is None else F.when(own.isin(*self.entities), own)).over(Window.partitionBy(F.lit(1)))
+        listed = lambda c: (c == OUTSIDE) | F.array_contains("_kinds", c)
+        return (long.withColumn("_kinds", kinds).filter(listed(row) & listed(col))
                 .select("row_label", "col_label", "n"))
 
     @property
@@ -175,7 +183,7 @@ class Evaluation:
         if types is None:
             types = [r[0] for r in self.counts.select("entity_type").orderBy("entity_type").collect()]
         labels = [*sorted(types), OUTSIDE]
-        spark = self.outcomes.sparkSession
+        spark = self._counted.sparkSession
         frame = spark.createDataFrame([(x,) for x in labels], "row_label string")
         wide = self.confusion.groupBy("row_label").pivot("col_label", labels).agg(F.sum("n"))
         return frame.join(wide, "row_label", "left").na.fill(0)
@@ -276,11 +284,8 @@ def evaluate(
         raise ValueError("iou_threshold must be in (0, 1]")
     found = predictions.filter(F.col("score") >= score_threshold)
     texts = ("text", "context")
-
-    def lean() -> DataFrame:
-        return outcomes(found.drop(*texts), truth.drop(*texts), iou_threshold)
-
-    return Evaluation(outcomes(found, truth, iou_threshold), tuple(entities) if entities else None, lean)
+    return Evaluation(lambda: outcomes(found, truth, iou_threshold), tuple(entities) if entities else None,
+                      lambda: outcomes(found.drop(*texts), truth.drop(*texts), iou_threshold))
 
 
 # ---------------------------------------------------------------------------
