@@ -57,3 +57,12 @@ def test_odd_rows_and_planted_repeats(spark):
     spans = {r.id: [(s.start, s.end) for s in r.spans] for r in found.where("id in (101, 107, 103)").collect()}
     assert spans == {101: [(1, 14)], 107: [], 103: [(0, 30000)]}
     assert substring.dedup_substrings(docs.limit(0)).count() == 0
+
+
+def test_columns_of_any_name_stay(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, text, 1, 2, "r"), (2, text + " end", 3, 4, "s")],
+                                 "doc_id long, text string, __id int, __hashes int, row string")
+    out = substring.remove_repeats(docs)
+    assert out.columns == docs.columns
+    assert sorted(tuple(r) for r in out.collect()) == [(1, text, 1, 2, "r"), (2, "end", 3, 4, "s")]

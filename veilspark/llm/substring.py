@@ -182,16 +182,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     ``length_col`` names a column that is to hold the number of characters of a changed text.
     """
-    found = repeats(docs, id_col, text_col, window, seed).select(F.col("id").alias("__id"), "hashes")
-    found = found.withColumnRenamed("hashes", "__hashes")
-    joined = docs.join(found, F.col(id_col).cast("long") == F.col("__id"), "left")
-    cut_out = joined.withColumn("__r", _spans(window)(text_bytes(text_col), F.col("__hashes")))
-    changed = F.col("__r.n_removed") > 0
-    out = {c: F.col(c) for c in docs.columns} | {text_col: F.when(changed, F.col("__r.kept")).otherwise(F.col(text_col))}
+    found = repeats(docs, id_col, text_col, window, seed)
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("bytes"))
+    rewritten = rows.join(found, "id", "left").select("row", _spans(window)("bytes", "hashes").alias("r"))
+    changed = F.col("r.n_removed") > 0
+    out = {c: F.col("row")[c] for c in docs.columns}
+    out[text_col] = F.when(changed, F.col("r.kept")).otherwise(out[text_col])
     if length_col:
         kind = docs.schema[length_col].dataType
-        out[length_col] = F.when(changed, F.length("__r.kept").cast(kind)).otherwise(F.col(length_col))
-    return cut_out.select(*(out[c].alias(c) for c in docs.columns))
+        out[length_col] = F.when(changed, F.length("r.kept").cast(kind)).otherwise(out[length_col])
+    return rewritten.select(*(out[c].alias(c) for c in docs.columns))
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
