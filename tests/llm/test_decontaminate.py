@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 
@@ -104,3 +105,33 @@ def test_gram_hash_depends_on_every_character():
     assert len(one) == 1
     assert all(dec.qgrams(dec.codes_of("abcdefgh"[:i] + "z" + "abcdefgh"[i + 1:]))[0] != one[0] for i in range(8))
     assert np.array_equal(dec.qgrams(dec.codes_of("xxabcdefgh"))[2:], one)
+
+
+def test_short_items_leak_as_whole_words(spark):
+    docs = spark.createDataFrame([(1, "it was 42, he said"), (2, "it was 4200"), (3, "A-Z of it"), (4, None), (5, "42 a z 42")],
+                                 "doc_id long, text string")
+    items = spark.createDataFrame([(1, "42"), (2, "a z"), (3, "?!"), (4, "42!")], "item_id long, text string")
+    found = sorted((r.id, r.item, r.start, r.end, r.edits) for r in dec.leaks(docs, items).collect())
+    assert found == [("1", "1", 7, 9, 0), ("1", "4", 7, 9, 0), ("3", "2", 0, 3, 0), ("5", "1", 0, 2, 0), ("5", "1", 7, 9, 0),
+                     ("5", "2", 3, 6, 0), ("5", "4", 0, 2, 0), ("5", "4", 7, 9, 0)]
+    for block_chars in (2, 1000):
+        kept = dec.without_leaks(docs, items, block_chars=block_chars)
+        assert sorted(r.doc_id for r in kept.collect()) == [2, 4]
+
+
+def test_an_item_repeated_many_times_in_one_text():
+    item = "the answer to the question"
+    index = dec.ItemIndex([(0, item)], dec.Q, dec.RATE)
+    began = time.time()
+    found = index.search([" ".join([item] * 20000)])
+    assert len(found) == 20000 and time.time() - began < 20
+    assert all(b[2] >= a[3] for a, b in zip(found, found[1:]))
+
+
+def test_bytes_that_are_no_text(spark):
+    item = "the quick brown fox jumps over the lazy dog"
+    docs = spark.createDataFrame([(1, item)], "doc_id long, text string").selectExpr(
+        "doc_id", "cast(concat(cast(text as binary), X'20ff20') as string) AS text")
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert dec.leaks(docs, items).count() == 1
+    assert dec.without_leaks(docs, items).count() == 0

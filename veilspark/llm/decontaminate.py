@@ -8,12 +8,14 @@ wider than its step by ``e`` and thus overlapping the next; bands that reach the
 by an alignment that stays within the band, with free ends in the text. An item's most frequent q-grams, two thirds
 as many as its bound, are left out of the count and the bound is lowered by as many, which loses nothing.
 
-The item index goes to the executors as a broadcast of at most ``block_chars`` item characters; a larger benchmark is
-taken in several blocks, one scan of the texts each. Texts are not shuffled. Long texts are searched in pieces that
+Items of fewer than ``q`` characters have no edit budget; they leak where their words stand in a text as they are.
+
+The item index goes to the executors as a broadcast of at most about ``block_chars`` item characters; a larger benchmark is
+taken in several blocks, one scan of the texts each, whose results are written before the next block is read. Texts are not shuffled. Long texts are searched in pieces that
 overlap by more than the longest region, so memory is bounded and nothing is missed at their borders.
 
-Results for odd input: null and empty texts leak nothing; items that are null or shorter than ``q`` characters have no
-q-gram and take no part; equal items are each reported; a null ``doc_id`` or item id is reported as null; repeated
+Results for odd input: null and empty texts leak nothing; items that are null or without a letter or digit take no
+part; bytes that are no UTF-8 count as the replacement character; equal items are each reported; a null ``doc_id`` or item id is reported as null; repeated
 rows are reported each; empty tables give an empty result. Other columns are ignored.
 """
 
@@ -21,6 +23,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import table
+from veilspark.llm.common import cut, discard, table
 
 Q = 8
 RATE = 0.08
@@ -72,6 +75,11 @@ class ItemIndex:
     def __init__(self, items: list[tuple[object, str]], q: int, rate: float) -> None:
         kept = [(i, t) for i, t in items if len(t) >= q]
         self.q = q
+        self.short: dict[str, list] = {}
+        for i, t in items:
+            if 0 < len(t) < q:
+                self.short.setdefault(t, []).append(i)
+        self.short_words = sorted({t.count(" ") + 1 for t in self.short})
         self.ids = [i for i, _ in kept]
         self.texts = [t for _, t in kept]
         self.codes = [codes_of(t) for t in self.texts]
@@ -159,6 +167,17 @@ class ItemIndex:
                     out[n] = (1 << 31) - (value & (_EDIT - 1)), int(low[n, 0]) + i + best, value >> 32
         return out
 
+    def search_short(self, texts: list[str]) -> list[tuple[int, object, int, int]]:
+        """(text, item id, start, end) of the items below ``q`` characters, as whole words of normalised texts."""
+        out = []
+        for n, text in enumerate(texts if self.short else ()):
+            bounds = np.flatnonzero(codes_of(f" {text} ") == 32).tolist()
+            for words in self.short_words:
+                for a, b in zip(bounds, bounds[words:]):
+                    if b - a <= self.q:
+                        out += [(n, i, a, b - 1) for i in self.short.get(text[a:b - 1], ())]
+        return out
+
     def search(self, texts: list[str]) -> list[tuple[int, int, int, int, int]]:
         """(text, item, start, end, edits) of the leaks in normalised texts; of overlapping regions the best."""
         if not self.ids:
@@ -177,10 +196,11 @@ class ItemIndex:
         self._search(batch, found)
         out = []
         for (n, item), regions in found.items():
-            taken: list[tuple[int, int]] = []
+            taken: list[tuple[int, int]] = []  # apart from each other, in order
             for edits, start, end in sorted(regions):
-                if all(end <= a or b <= start for a, b in taken):
-                    taken.append((start, end))
+                at = bisect(taken, (start, end))
+                if (at == 0 or taken[at - 1][1] <= start) and (at == len(taken) or end <= taken[at][0]):
+                    taken.insert(at, (start, end))
                     out.append((n, item, start, end, edits))
         return sorted(out)
 
@@ -209,11 +229,13 @@ def _scan(shared):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index = shared.value
         for batch in batches:
-            leaks = index.search([normalise(t) for t in batch["text"]])
+            texts = [normalise(t) for t in batch["text"]]
+            leaks = [(n, index.ids[i], *region) for n, i, *region in index.search(texts)]
+            leaks += [(*found, 0) for found in index.search_short(texts)]
             ids = batch["id"].tolist()
             yield pd.DataFrame({
                 "id": pd.Series([ids[n] for n, *_ in leaks], dtype=object),
-                "item": pd.Series([index.ids[i] for _, i, *_ in leaks], dtype=object),
+                "item": pd.Series([i for _, i, *_ in leaks], dtype=object),
                 "start": [r[2] for r in leaks], "end": [r[3] for r in leaks], "edits": [r[4] for r in leaks]})
 
     return run
@@ -221,23 +243,23 @@ def _scan(shared):
 
 def _leaked(shared):
     def of(texts: pd.Series) -> pd.Series:
-        found = {n for n, *_ in shared.value.search([normalise(t) for t in texts])}
+        index, known = shared.value, [normalise(t) for t in texts]
+        found = {n for n, *_ in index.search(known)} | {n for n, *_ in index.search_short(known)}
         return pd.Series([n in found for n in range(len(texts))], dtype=bool)
 
     return of
 
 
-def _indexes(items: DataFrame, item_col: str, text_col: str, q: int, rate: float, block_chars: int) -> list:
-    """Broadcast indexes of the benchmark, each of about ``block_chars`` characters at most."""
-    known = items.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text"))
-    chars = known.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, math.ceil(chars / block_chars))
-    out = []
-    for block in range(blocks):
-        rows = known.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block).collect()
-        index = ItemIndex([(r.item, normalise(r.text)) for r in rows], q, rate)
-        out.append(items.sparkSession.sparkContext.broadcast(index))
-    return out
+def _blocks(items: DataFrame, text_col: str, block_chars: int) -> int:
+    chars = items.agg(F.sum(F.length(text_col))).first()[0] or 0
+    return max(1, math.ceil(chars / block_chars))
+
+
+def _index(items: DataFrame, item_col: str, text_col: str, q: int, rate: float, block: int, blocks: int):
+    """Broadcast index of one block of the benchmark."""
+    known = items.select(F.col(item_col).cast("string").alias("item"), F.make_valid_utf8(text_col).alias("text"))
+    rows = known.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block).collect()
+    return items.sparkSession.sparkContext.broadcast(ItemIndex([(r.item, normalise(r.text)) for r in rows], q, rate))
 
 
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
@@ -246,12 +268,15 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
 
     Ids come as strings, whatever their type, so that nulls and large numbers stay exact.
     """
-    texts = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
-    found = [texts.mapInPandas(_scan(shared), "id string, item string, start long, end long, edits long")
-             for shared in _indexes(items, item_col, item_text_col, q, rate, block_chars)]
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
+    texts = docs.select(F.col(id_col).cast("string").alias("id"), F.make_valid_utf8(text_col).alias("text"))
+    blocks, out = _blocks(items, item_text_col, block_chars), None
+    for block in range(blocks):
+        shared = _index(items, item_col, item_text_col, q, rate, block, blocks)
+        found = texts.mapInPandas(_scan(shared), "id string, item string, start long, end long, edits long")
+        if blocks > 1:
+            found = cut(found, "leaks")
+            shared.destroy()
+        out = found if out is None else out.unionByName(found)
     return out
 
 
@@ -259,9 +284,16 @@ def without_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
                   item_text_col: str = "text", q: int = Q, rate: float = RATE,
                   block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The documents that hold no benchmark item; no shuffle."""
-    out = docs
-    for shared in _indexes(items, item_col, item_text_col, q, rate, block_chars):
-        out = out.where(~F.pandas_udf(_leaked(shared), "boolean")(F.col(text_col)))
+    blocks, out = _blocks(items, item_text_col, block_chars), docs
+    for block in range(blocks):
+        shared = _index(items, item_col, item_text_col, q, rate, block, blocks)
+        kept = out.where(~F.pandas_udf(_leaked(shared), "boolean")(F.make_valid_utf8(text_col)))
+        if blocks > 1:
+            before, kept = out, cut(kept, "clean")
+            shared.destroy()
+            if block:
+                discard(before)
+        out = kept
     return out
 
 
