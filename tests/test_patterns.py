@@ -2,6 +2,7 @@
 
 import random
 import re
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -209,3 +210,13 @@ def test_null_and_no_match(spark):
     df = spark.createDataFrame([(None,), ("niets",)], "text string")
     got = [r[0] for r in df.select(regex_spans("text", r"\d+")).collect()]
     assert got == [None, []]
+
+
+def test_every_match_holds_what_its_pattern_needs(found):
+    """Hints on strings change no result, also where case is ignored."""
+    text = ("nl91abna0417164300 NL91ABNA0417164300 nl123456789b01 ab-12-cd AB-12-CD z-2023-00001 woo-2023-001 WP/2023/001 "
+            "c/13/123456 AWB 21/1234 awb 21/1234 hr 22/12345 200.12345 08/123456-23 rbams 20/1234 1.2.3.4")
+    for case in ("as_written", "insensitive"):
+        with_hints = found(text, case=case)
+        plain = [replace(r, needs=()) for r in catalog.builtin_catalogue()]
+        assert with_hints and with_hints == found(text, case=case, catalogue=plain)

@@ -50,11 +50,11 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def letter_texts(spark: SparkSession, sf: str) -> DataFrame:
-    return parted(letters(spark, sf).select("doc_id", "text"))
+    return letters(spark, sf).select("doc_id", "text")
 
 
 def dossier_texts(spark: SparkSession, sf: str) -> DataFrame:
-    return parted(dossiers(spark, sf))
+    return dossiers(spark, sf)
 
 
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
@@ -639,7 +639,7 @@ def labelled_letters(spark, sf):
         parts.append(
             f"named_struct('entity_type', {name}, 'text', {hit}, 'start', int(instr(text, {hit}) - 1 + {move}), "
             f"'end', int(instr(text, {hit}) - 1 + {move} + length({hit})))")
-    return parted(ls.withColumn("spans", F.expr(f"array({', '.join(parts)})")))
+    return ls.withColumn("spans", F.expr(f"array({', '.join(parts)})"))
 
 
 def letter_evaluation(spark, sf, **options) -> E.Evaluation:

@@ -56,6 +56,10 @@ def _row_sql(clean: str, row: Recognizer, insensitive: bool, validated_score: fl
     if row.validator is not None:
         valid = VALIDATORS[row.validator] if isinstance(row.validator, str) else row.validator
         spans = f"filter({spans}, v -> {valid('v.text')})"
+    # letters of either case are no use as a hint where case is ignored
+    if row.needs and not (insensitive and any(c.isalpha() for n in row.needs for c in n)):
+        there = " OR ".join(f"contains({clean}, {quote(n)})" for n in row.needs)
+        spans = f"if({there}, {spans}, {NO_SPANS})"
     return spans
 
 

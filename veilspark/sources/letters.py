@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilspark.sources.readers import spread_rows
+
 LETTER_SQL = """
   'Op ' || lpad(CAST(1 + c.c_custkey % 28 AS STRING), 2, '0') || '-'
         || lpad(CAST(1 + c.c_custkey % 12 AS STRING), 2, '0') || '-'
@@ -33,9 +35,9 @@ def letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, text, c_name, n_name``: one letter per customer.
 
     ``nation`` is a fixed code table (25 rows in TPC-H); Spark broadcasts it by
-    its measured size.
+    its measured size.  Customers are dealt over splits while their rows are narrow.
     """
-    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name", "c_nationkey")
+    c = spread_rows(spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name", "c_nationkey"))
     n = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name")
     joined = c.alias("c").join(n.alias("n"), F.col("c.c_nationkey") == F.col("n.n_nationkey"))
     return joined.select(
@@ -66,5 +68,5 @@ DOSSIER_SQL = """
 
 def dossiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, text``: one file note per order, with the formats letters lack."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
+    orders = spread_rows(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey"))
     return orders.select(F.col("o_orderkey").alias("doc_id"), F.expr(DOSSIER_SQL).alias("text"))

@@ -16,6 +16,10 @@ GOLDEN_SCHEMA = (
 SAMPLE_SCHEMA = (
     "full_text STRING, spans ARRAY<STRUCT<entity_type: STRING, entity_value: STRING, "
     "start_position: INT, end_position: INT>>")
+# Rows of a split whose texts are scanned: some seconds of work.
+SPLIT_ROWS = 2000
+MOST_SPLITS = 20_000
+
 TEXT_SCHEMA = "doc_id BIGINT, text STRING, language STRING"
 
 
@@ -50,6 +54,17 @@ def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
     return df.repartition(partitions) if partitions else df
 
 
+def spread_rows(df: DataFrame, rows: int = SPLIT_ROWS) -> DataFrame:
+    """Narrow rows from which texts will be made, dealt over as many splits as their number asks for.
+
+    A columnar file of a few megabytes is one split, however many texts come of it.  The rows are counted, which reads no
+    column, and more splits are taken where the session asks for them.
+    """
+    asked = int(df.sparkSession.conf.get("spark.sql.files.minPartitionNum", None) or 0)
+    wanted = max(asked, min(MOST_SPLITS, -(-df.count() // rows)))
+    return spread(df, wanted if wanted > 1 else None)
+
+
 def read_golden(spark: SparkSession, path: str) -> DataFrame:
     """JSON lines ``id, text, entities``; blank lines are skipped, a line that does not parse ends the job."""
     return spark.read.schema(GOLDEN_SCHEMA).option("mode", "FAILFAST").json(path)
