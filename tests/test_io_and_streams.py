@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql.functions import spark_partition_id
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
@@ -112,3 +113,30 @@ def test_query_equals_oracle(spark, name):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     outcome = check_oracle.compare(spark, con, SF, name, entry.queries()[name], entry.oracle_sql()[name])
     assert outcome.startswith("ok"), outcome
+
+
+def test_rows_of_one_split_are_dealt_before_texts_are_made(spark, tmp_path):
+    from veilspark.sources.letters import dossiers, letters
+
+    spark.range(9000).selectExpr("id AS c_custkey", "concat('c', id) AS c_name", "id % 3 AS c_nationkey").coalesce(1).write.parquet(
+        f"{tmp_path}/customer.parquet")
+    spark.range(3).selectExpr("id AS n_nationkey", "'NL' AS n_name").write.parquet(f"{tmp_path}/nation.parquet")
+    spark.range(9000).selectExpr("id AS o_orderkey", "id AS o_custkey").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    for made in (letters(spark, str(tmp_path)), dossiers(spark, str(tmp_path))):
+        sizes = [r["count"] for r in made.groupBy(spark_partition_id()).count().collect()]
+        assert sum(sizes) == 9000 and len(sizes) == 5 and max(sizes) <= 2100
+
+
+@pytest.mark.parametrize("limit", [1000, 0])
+def test_stream_with_few_and_many_names(spark, tmp_path, limit):
+    from veilspark.operators import ner
+    from veilspark.streaming import stream
+
+    rows = [(i, f"Jan Bos mailt a{i}@b.nl") for i in range(5)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/in")
+    names = ner.load_names(spark.createDataFrame([("Jan Bos", "PERSON")], "name string, entity_type string"), limit=limit)
+    texts = stream.read_stream(spark, f"{tmp_path}/in", "doc_id bigint, text string")
+    running, schema, files = stream.write_analyzed(texts, f"{tmp_path}/out", f"{tmp_path}/state", once=True, gazetteer=names)
+    running.awaitTermination()
+    found = spark.read.schema(schema).parquet(files).selectExpr("doc_id", "inline(pii_entities)").collect()
+    assert sorted((r.doc_id, r.entity_type) for r in found) == [(i, t) for i in range(5) for t in ("EMAIL", "PERSON")]

@@ -471,13 +471,13 @@ def dictionary_own_types(spark, sf):
 
 @query
 def stream_names(spark, sf):
-    """Letters written as files and read as a stream, with names matched in the rows."""
+    """Letters written as files and read as a stream, with names matched in the rows, or batch by batch if they are many."""
     source, out, state = (shared_path(spark, f"stream-{k}") for k in ("in", "out", "state"))
     letter_texts(spark, sf).write.parquet(source)
     texts = stream.read_stream(spark, source, "doc_id bigint, text string")
-    found = stream.analyze_stream(texts, gazetteer=gazetteer(spark, sf))
-    stream.write_stream(found, out, state, once=True).awaitTermination()
-    return explode_spans(spark.read.schema(found.schema).parquet(out)).select("doc_id", *SPAN)
+    running, schema, files = stream.write_analyzed(texts, out, state, once=True, gazetteer=gazetteer(spark, sf))
+    running.awaitTermination()
+    return explode_spans(spark.read.schema(schema).parquet(files)).select("doc_id", *SPAN)
 
 
 @query

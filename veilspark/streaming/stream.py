@@ -53,6 +53,23 @@ def write_stream(df: DataFrame, path: str, checkpoint: str, fmt: str = "parquet"
     return writer.start(path)
 
 
+def write_analyzed(df: DataFrame, path: str, checkpoint: str, fmt: str = "parquet", once: bool = False,
+                   **options) -> tuple[StreamingQuery, StructType, str]:
+    """Analyze a stream into files; returns the query, the schema of the results and the pattern of their paths.
+
+    A dictionary that is matched in the rows, or none, stays one map; one too large for that and external spans are
+    analyzed batch by batch.  The dictionary is loaded once.
+    """
+    given = options.get("gazetteer")
+    if given is not None and not isinstance(given, Names):
+        options["gazetteer"] = given = load_names(given)
+    if options.get("external") is None and (given is None or given.trie is not None):
+        found = analyze_stream(df, **options)
+        return write_stream(found, path, checkpoint, fmt, once), found.schema, path
+    schema = analyze(df.sparkSession.createDataFrame([], df.schema), **options).schema
+    return write_batches(df, lambda batch: analyze(batch, **options), path, checkpoint, fmt, once), schema, f"{path}/batch=*"
+
+
 def write_batches(df: DataFrame, transform: Callable[[DataFrame], DataFrame], path: str, checkpoint: str,
                   fmt: str = "parquet", once: bool = False) -> StreamingQuery:
     """Run a batch-only transform per micro-batch.
