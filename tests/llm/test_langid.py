@@ -93,3 +93,17 @@ def test_odd_rows(spark):
     assert none.labels == []
     assert {r.label for r in langid.detect(docs, none).collect()} == {"und"}
     assert langid.detect(docs.limit(0), model).count() == 0
+
+
+def test_features_of_many_words_are_laid_out_in_blocks():
+    import tracemalloc
+
+    model = langid.Model(["a", "b"])
+    model.weights[:] = np.random.default_rng(0).normal(size=model.weights.shape)
+    words = [f"woord{chr(97 + i % 26)}x{chr(97 + i // 26 % 26)}y{i}" for i in range(60_000)]
+    tracemalloc.start()
+    scores = model.emissions(words)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6
+    assert (scores[25_000:25_010] == model.emissions(words[25_000:25_010])).all()

@@ -31,8 +31,10 @@ from veilspark.llm.common import remainder, table
 BITS = 18
 GRAMS = 4
 SEGMENT = 64
-MEMO = 250_000
-SUB_BATCH = 200_000
+MEMO = 100_000
+SUB_BATCH = 50_000
+# words whose features are laid out at once: some hundred bytes for each of their characters
+FEATURED = 10_000
 ROWS_PER_LABEL = 500
 SPANS = 4
 SPAN = 24
@@ -81,9 +83,11 @@ class Model:
 
     def emissions(self, words: list[str]) -> np.ndarray:
         out = np.zeros((len(words), len(self.labels)))
-        owner, bucket = word_features(words)
-        for k in range(len(self.labels)):
-            out[:, k] = np.bincount(owner, self.weights[bucket, k], len(words))
+        for low in range(0, len(words), FEATURED):
+            some = words[low:low + FEATURED]
+            owner, bucket = word_features(some)
+            for k in range(len(self.labels)):
+                out[low:low + len(some), k] = np.bincount(owner, self.weights[bucket, k], len(some))
         return out
 
 
