@@ -124,7 +124,7 @@ def test_rows_of_one_split_are_dealt_before_texts_are_made(spark, tmp_path):
     spark.range(9000).selectExpr("id AS o_orderkey", "id AS o_custkey").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
     for made in (letters(spark, str(tmp_path)), dossiers(spark, str(tmp_path))):
         sizes = [r["count"] for r in made.groupBy(spark_partition_id()).count().collect()]
-        assert sum(sizes) == 9000 and len(sizes) == 5 and max(sizes) <= 2100
+        assert sum(sizes) == 9000 and len(sizes) == 8 and max(sizes) <= 1500
 
 
 @pytest.mark.parametrize("limit", [1000, 0])

@@ -16,10 +16,6 @@ GOLDEN_SCHEMA = (
 SAMPLE_SCHEMA = (
     "full_text STRING, spans ARRAY<STRUCT<entity_type: STRING, entity_value: STRING, "
     "start_position: INT, end_position: INT>>")
-# Rows of a split whose texts are scanned: some seconds of work.
-SPLIT_ROWS = 2000
-MOST_SPLITS = 20_000
-
 TEXT_SCHEMA = "doc_id BIGINT, text STRING, language STRING"
 
 
@@ -54,15 +50,15 @@ def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
     return df.repartition(partitions) if partitions else df
 
 
-def spread_rows(df: DataFrame, rows: int = SPLIT_ROWS) -> DataFrame:
-    """Narrow rows from which texts will be made, dealt over as many splits as their number asks for.
+def spread_rows(df: DataFrame) -> DataFrame:
+    """Narrow rows from which texts will be made, dealt over the session's shuffle partitions.
 
-    A columnar file of a few megabytes is one split, however many texts come of it.  The rows are counted, which reads no
-    column, and more splits are taken where the session asks for them.
+    A columnar file of a few megabytes is one split, however many texts come of it.  Rows are dealt by their places, so
+    copies and null keys do no harm; a number given by hand is not coalesced to the size of the narrow rows.
     """
-    asked = int(df.sparkSession.conf.get("spark.sql.files.minPartitionNum", None) or 0)
-    wanted = max(asked, min(MOST_SPLITS, -(-df.count() // rows)))
-    return spread(df, wanted if wanted > 1 else None)
+    conf = df.sparkSession.conf
+    parts = max(int(conf.get("spark.sql.shuffle.partitions")), int(conf.get("spark.sql.files.minPartitionNum", None) or 0))
+    return df.withColumn("_place", F.monotonically_increasing_id()).repartition(parts, "_place").drop("_place")
 
 
 def read_golden(spark: SparkSession, path: str) -> DataFrame:
