@@ -169,7 +169,7 @@ class Laid:
             if j > 1:
                 codes = np.unique(codes, return_inverse=True)[1]
             codes = codes * base + self.numbers[at + j]
-        order = np.argsort(codes, kind="stable")
+        order = np.argsort(codes)
         first = changes(codes[order])
         return at[order[first]], np.add.reduceat(self.weights[at][order], first) if len(at) else self.weights[:0]
 
@@ -183,7 +183,7 @@ def summed(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarra
     """Distinct keys and their summed weights."""
     if not len(keys):
         return keys, weights
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys, weights = keys[order], weights[order]
     first = changes(keys)
     return keys[first], np.add.reduceat(weights, first)
