@@ -78,3 +78,26 @@ def test_pieces_apart_as_merging_says(known):
     left, right = np.array(pairs).T
     want = [known.merge(known.pieces[a] + known.pieces[b]) == [a, b] for a, b in pairs]
     assert known.stay_apart(left, right).tolist() == want
+
+
+def test_a_batch_holds_no_strings_but_new_units(known):
+    """A million words of a few kinds: numbers are held for them, some 60 bytes each at most, and no strings."""
+    import tracemalloc
+
+    text, encoder = "een twee drie vier vijf " * 4000, pieces.Encoder(known)
+    alone = encoder.encode([text])[0].tolist()
+    tracemalloc.start()
+    ids = encoder.encode([text] * 50)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert all(one.tolist() == alone for one in ids)
+    assert peak < 100 * 1_000_000
+
+
+def test_units_of_an_older_memory_keep_their_ids(known, library, monkeypatch):
+    monkeypatch.setattr(pieces, "MEMO", 40)
+    draw, encoder = random.Random(9), pieces.Encoder(known)
+    words = ["".join(draw.choice("abdeinorstz") for _ in range(draw.randrange(1, 9))) for _ in range(150)]
+    for _ in range(20):
+        texts = [" ".join(draw.choices(words, k=30)) for _ in range(4)]
+        assert [i.tolist() for i in encoder.encode(texts)] == [library.encode(t) for t in texts]

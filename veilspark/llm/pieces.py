@@ -22,6 +22,7 @@ from __future__ import annotations
 import heapq
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -32,9 +33,9 @@ from veilspark.llm.common import table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-MEMO = 120_000
+MEMO = 60_000
 STOPS = ",.!?;:"
-SUB_BATCH = 1024
+SUB_BATCH = 512
 FEW = 16
 BITS = 20
 _P = 0x9E3779B97F4A7C15
@@ -190,6 +191,14 @@ def hash_of(text: str, mixed: bool = True) -> int:
     return value * _P & _MASK if mixed else value
 
 
+class Numbers(dict):
+    """Numbers strings in the order they are first asked for."""
+
+    def __missing__(self, unit: str) -> int:
+        self[unit] = number = len(self)
+        return number
+
+
 class Encoder:
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.v = vocabulary
@@ -200,7 +209,7 @@ class Encoder:
     def _forget(self, keep: bool = False) -> None:
         """Start a new memory of encoded units; the one before is kept to look units up in."""
         self.older = (self.memo, self.flat, self.starts, self.lengths) if keep else ({}, None, None, None)
-        self.memo: dict[str, int] = {}
+        self.memo = Numbers()
         self.flat, self.starts, self.lengths = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _may_join(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -282,7 +291,8 @@ class Encoder:
                 out[at + k] = piece
         return out, np.bincount(np.repeat(np.arange(len(counts)), counts), sizes, len(counts)).astype(np.int64)
 
-    def _learn(self, units: set[str]) -> None:
+    def _learn(self, units: list[str]) -> None:
+        """Encode units that the memory has just numbered."""
         held, flat, starts, lengths = self.older
         known = [u for u in units if u in held]
         names, runs = [known], []
@@ -291,7 +301,7 @@ class Encoder:
             runs.append((gather(flat, starts[place], lengths[place])[0], lengths[place]))
         by_length: dict[int, list[str]] = {}
         direct: list[str] = []
-        for unit in sorted(units.difference(known)):
+        for unit in sorted(u for u in units if u not in held):
             if self.v.kind == "bpe" and unit.startswith(MARK * 2):
                 direct.append(unit)
             else:
@@ -310,10 +320,10 @@ class Encoder:
             runs.append(self._expanded(np.array([i for ids in merged for i in ids], np.int64),
                                        np.array([len(ids) for ids in merged], np.int64)))
         counts = np.concatenate([c for _, c in runs])
-        first = len(self.starts)
-        self.memo.update(zip((u for some in names for u in some), range(first, first + len(counts))))
-        self.starts = np.concatenate((self.starts, len(self.flat) + np.cumsum(counts) - counts))
-        self.lengths = np.concatenate((self.lengths, counts))
+        place = np.fromiter((self.memo[u] for some in names for u in some), np.int64, len(counts)) - len(self.starts)
+        starts, lengths = np.zeros(len(counts), np.int64), np.zeros(len(counts), np.int64)
+        starts[place], lengths[place] = len(self.flat) + np.cumsum(counts) - counts, counts
+        self.starts, self.lengths = np.concatenate((self.starts, starts)), np.concatenate((self.lengths, lengths))
         self.flat = np.concatenate((self.flat, *(f.astype(np.int32) for f, _ in runs)))
 
     def _units(self, text: str | None) -> list[str]:
@@ -322,12 +332,14 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         if len(self.memo) > MEMO:
             self._forget(keep=True)
-        cut = [self._units(t) for t in texts]
-        units = [u for c in cut for u in c]
-        new = set(units) - self.memo.keys()
-        if new:
-            self._learn(new)
-        place = np.fromiter(map(self.memo.__getitem__, units), np.int64, len(units))
+        # a text's units become numbers at once: held until the batch is cut, they would lie between the few strings that stay
+        cut = []
+        for text in texts:
+            units = self._units(text)
+            cut.append(np.fromiter(map(self.memo.__getitem__, units), np.int64, len(units)))
+        if len(self.memo) > len(self.starts):
+            self._learn(list(islice(self.memo, len(self.starts), None)))
+        place = np.concatenate([np.zeros(0, np.int64), *cut])
         flat, ends = gather(self.flat, self.starts[place], self.lengths[place])
         edges = np.concatenate(([0], ends))[np.cumsum([0] + [len(c) for c in cut])]
         return [flat[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
