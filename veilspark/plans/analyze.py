@@ -18,7 +18,7 @@ from veilspark.catalog import (
 )
 from veilspark.functions import resolve, spans as S
 from veilspark.functions.replacement import check_strategy, choose_sql, rewrite_sql, with_values_sql
-from veilspark.functions.scan import scan_sql
+from veilspark.functions.scan import plain_sql, scan_sql, settled_sql
 from veilspark.operators import ner
 from veilspark.operators.validate import prepare
 
@@ -77,8 +77,12 @@ def scan(
     if entities_col:
         rows = rows.withColumn("_veil_asked", F.col(entities_col))
     rows = rows.withColumn("_veil_clean", F.expr(S.scannable_sql("_veil_text")))
+    rows = rows.withColumn("_veil_plain", F.expr(plain_sql("_veil_clean")))
     rows = rows.withColumn(
-        "_veil_found", F.expr(scan_sql("_veil_clean", plan.rows, case == "insensitive", validated_score)))
+        "_veil_found", F.expr(scan_sql("_veil_clean", plan.rows, case == "insensitive", validated_score, "_veil_plain")))
+    settled = None
+    if not (plan.detectors or context or trim_spans):
+        settled = settled_sql("_veil_clean", plan.rows, "_veil_plain")
     spans = [resolve.trim_spans("_veil_found") if trim_spans else "_veil_found"]
     by_name = F.col("language") == DEFAULT_LANGUAGE  # other languages: pattern rules only
     models = [d for d in plan.detectors if d not in ("gazetteer", "external")]
@@ -93,19 +97,22 @@ def scan(
         spans.append("_veil_external")
     found = spans[0] if len(spans) == 1 else "concat(" + ", ".join(
         f"coalesce({s}, {S.NO_SPANS})" for s in spans) + ")"
-    return _finish(rows, found, plan, bool(entities_col), min_score, context, context_window)
+    return _finish(rows, found, plan, bool(entities_col), min_score, context, context_window, settled)
 
 
 def _finish(rows: DataFrame, spans: str, plan: Plan, asked: bool,
-            min_score: float | None, context, context_window: int) -> DataFrame:
-    """Type filter, duplicate removal, pattern-over-name rule, order."""
+            min_score: float | None, context, context_window: int, settled: str | None = None) -> DataFrame:
+    """Type filter, duplicate removal, pattern-over-name rule, order; ``settled`` says where the scan has done the first and last."""
+    def unless(sql: str, spans: str) -> str:
+        return f"if({settled}, {spans}, {sql})" if settled else sql
+
     if plan.detectors and plan.entities is not None:
         spans = resolve.keep_types(spans, plan.entities)
     if asked:
         spans = (f"filter({spans}, s -> array_contains(if(size(_veil_asked) > 0, _veil_asked, "
                  f"array({S.quote_list(DEFAULT_ENTITIES)})), s.entity_type))")
     rows = rows.withColumn("_veil_s0", F.expr(spans))
-    rows = rows.withColumn("_veil_s1", F.expr(resolve.dedup_same_type("_veil_s0")))
+    rows = rows.withColumn("_veil_s1", F.expr(unless(resolve.dedup_same_type("_veil_s0"), "_veil_s0")))
     spans = "_veil_s1"
     if plan.detectors:
         rows = rows.withColumn("_veil_s2", F.expr(resolve.drop_ner_overlaps(
@@ -117,7 +124,7 @@ def _finish(rows: DataFrame, spans: str, plan: Plan, asked: bool,
         spans = "_veil_s3"
     if min_score is not None:
         spans = resolve.keep_score(spans, min_score)
-    rows = rows.withColumn("_veil_ordered", F.expr(resolve.stable_order(spans)))
+    rows = rows.withColumn("_veil_ordered", F.expr(unless(resolve.stable_order(spans), spans)))
     # cut the text anew where a stand-in took part, or a detector gave offsets only
     blank = f"transform(_veil_ordered, s -> {S.respan_sql('s', 'CAST(NULL AS string)', 's.start', 's.end')})"
     exact = S.let_sql("bl", S.blocks_sql("_veil_text"), with_values_sql("bl", blank))
