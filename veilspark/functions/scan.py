@@ -38,11 +38,12 @@ _GROUP_LEAD = {
 }
 
 
+def _body(row: Recognizer) -> str:
+    return f"(?i:{row.regex[4:]})" if row.regex.startswith("(?i)") else row.regex
+
+
 def _member(row: Recognizer) -> str:
-    body = row.regex
-    if body.startswith("(?i)"):
-        body = f"(?i:{body[4:]})"
-    return f"(?={row.lead}){body}"
+    return f"(?={row.lead}){_body(row)}"
 
 
 def _guard_regex(group: str, rows: list[Recognizer], insensitive: bool) -> str:
@@ -102,8 +103,8 @@ def _once_regexes(rows: list[Recognizer], insensitive: bool) -> tuple[str, str,
     ways: dict[str, list[Recognizer]] = {}
     for row in rows:
         ways.setdefault(_begin(row), []).append(row)
-    some = "|".join(f"(?={b})(?:{'|'.join(_member(r) for r in of)})" for b, of in ways.items())
-    each = "".join(f"(?>(?={b})" + "".join(f"(?=({_member(r)})|)" for r in of) + "|)" for b, of in ways.items())
+    some = "|".join(f"(?={b})(?:{'|'.join(_body(r) for r in of)})" for b, of in ways.items())
+    each = "".join(f"(?>(?={b})" + "".join(f"(?=({_body(r)})|)" for r in of) + "|)" for b, of in ways.items())
     # a group that took part stands here again; one that did not is nowhere
     any_ = "|".join(f"\\{i}" for i in range(1, len(rows) + 1))
     return (java_regex(f"{_BEGIN}(?:{some})", insensitive), java_regex(f"{_BEGIN}{each}(?={any_})", insensitive),

@@ -53,12 +53,13 @@ def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
 def spread_rows(df: DataFrame) -> DataFrame:
     """Narrow rows from which texts will be made, dealt over the session's shuffle partitions.
 
-    A columnar file of a few megabytes is one split, however many texts come of it.  Rows are dealt in turn, so
+    A columnar file of a few megabytes is one split, however many texts come of it.  Rows are dealt by their places, so
     copies and null keys do no harm; a number given by hand is not coalesced to the size of the narrow rows.
     """
     conf = df.sparkSession.conf
     parts = max(int(conf.get("spark.sql.shuffle.partitions")), int(conf.get("spark.sql.files.minPartitionNum", None) or 0))
-    return df.repartition(parts)
+    placed = df.withColumn("_place", F.monotonically_increasing_id())
+    return placed.repartitionById(parts, F.pmod("_place", F.lit(parts)).cast("int")).drop("_place")
 
 
 def read_golden(spark: SparkSession, path: str) -> DataFrame:
